@@ -118,8 +118,11 @@ def quality(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of `docs`."""
-    return judged(docs).filter("__v.kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns of `docs`.
+
+    The row number keeps the optimizer from moving the filter below the projections, where it would repeat their work.
+    """
+    return judged(docs).withColumn("__row", F.monotonically_increasing_id()).filter("__v.kept AND __row >= 0").select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
