@@ -20,7 +20,8 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, at: str, tie: str,
 
 def buffered(scans: DataFrame, by: str, stamp: str, seconds: float, aggregates: list) -> DataFrame:
     """Each scan with aggregates over the scans of the last `seconds`, itself included; `stamp` is in seconds."""
-    w = Window.partitionBy(by).orderBy(stamp).rangeBetween(-seconds, 0)
+    micros = F.round(F.col(stamp) * 1_000_000).cast("long")
+    w = Window.partitionBy(by).orderBy(micros).rangeBetween(-round(seconds * 1_000_000), 0)
     return scans.withColumns({name: a.over(w) for name, a in aggregates})
 
 
