@@ -128,7 +128,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 for u, v in compared(np.concatenate(found), right, radius):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view("i8")), pa.array(v.view("i8"))], ["u", "v"])
 
-    pairs = near.join(tiles.select("place", F.col("fps").alias("right")), "place").select("left", "right")
+    # Sizes of written tables don't tell how often a tile is repeated, so a broadcast must not be chosen by them.
+    pairs = near.hint("merge").join(tiles.select("place", F.col("fps").alias("right")).hint("merge"), "place").select("left", "right")
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
