@@ -31,46 +31,45 @@ def cloud(spark: SparkSession, d: str) -> DataFrame:
     return t.selectExpr("CAST(scan_id AS BIGINT) AS scan_id", "l_orderkey", "x_mm", "y_mm", f"{_Z} AS z_mm")
 
 
-def stats(spark: SparkSession, d: str, thin: bool = False) -> DataFrame:
-    c = cloud(spark, d)
-    c = c.filter("scan_id = 1") if thin else c
-    return grid.cell_stats(c.selectExpr("0L AS grid_id", "CAST(y_mm DIV 100 AS INT) AS row", "CAST(x_mm DIV 100 AS INT) AS col", "z_mm AS z"))
+def stats(spark: SparkSession, d: str, each: bool = False) -> DataFrame:
+    """Cell statistics of the whole cloud: as one grid, or with `each` as a grid for each scan."""
+    return grid.cell_stats(cloud(spark, d).selectExpr("scan_id AS grid_id" if each else "0L AS grid_id", "CAST(y_mm DIV 100 AS INT) AS row", "CAST(x_mm DIV 100 AS INT) AS col", "z_mm AS z"))
 
 
 def metres(spark: SparkSession, d: str) -> DataFrame:
     return cloud(spark, d).selectExpr("scan_id", "l_orderkey", "0L AS grid_id", "x_mm / 1e3 AS x", "y_mm / 1e3 AS y", "z_mm / 1e3 AS z")
 
 
-def terrain(spark: SparkSession, d: str, thin: bool = False) -> DataFrame:
-    return grid.terrain(stats(spark, d, thin), ROBOT, CFG, 1e-3)
+def terrain(spark: SparkSession, d: str, each: bool = False) -> DataFrame:
+    return grid.terrain(stats(spark, d, each), ROBOT, CFG, 1e-3)
 
 
 _CLOUD = f"""b AS (SELECT CAST(l_linenumber AS BIGINT) scan_id, l_orderkey, {_X} x_mm, {_Y} y_mm, CAST(l_quantity AS BIGINT) q FROM lineitem),
 cloud AS (SELECT scan_id, l_orderkey, x_mm, y_mm, {_Z} z_mm FROM b)"""
 
 
-def _stats(where: str = "true") -> str:
-    return f"""{_CLOUD}, st AS (SELECT CAST(y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, count(*) n, CAST(sum(z_mm) AS BIGINT) sz, CAST(sum(z_mm*z_mm) AS BIGINT) szz, min(z_mm) zmin, max(z_mm) zmax
- FROM cloud WHERE {where} GROUP BY ALL),
-e0 AS (SELECT r, c, n, (sz / n) * 1e-3 e, sqrt(greatest(0e0, szz / n - (sz / n) * (sz / n))) * 1e-3 rough FROM st),
+def _stats(each: bool = False) -> str:
+    return f"""{_CLOUD}, st AS (SELECT {"scan_id" if each else "0::BIGINT"} g, CAST(y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, count(*) n, CAST(sum(z_mm) AS BIGINT) sz, CAST(sum(z_mm*z_mm) AS BIGINT) szz, min(z_mm) zmin, max(z_mm) zmax
+ FROM cloud GROUP BY ALL),
+e0 AS (SELECT g, r, c, n, (sz / n) * 1e-3 e, sqrt(greatest(0e0, szz / n - (sz / n) * (sz / n))) * 1e-3 rough FROM st),
 off AS (SELECT CAST(a.i AS INT) dr, CAST(b.i AS INT) dc FROM range(-3, 4) a(i), range(-3, 4) b(i)), box AS (SELECT * FROM off WHERE abs(dr) <= 1 AND abs(dc) <= 1)"""
 
 
 def _smooth(n: int) -> str:
-    return "".join(f", e{k} AS (SELECT a.r, a.c, any_value(a.n) n, avg(b.e) e, any_value(a.rough) rough FROM e{k - 1} a, box, e{k - 1} b WHERE b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c)" for k in range(1, n + 1))
+    return "".join(f", e{k} AS (SELECT a.g, a.r, a.c, any_value(a.n) n, avg(b.e) e, any_value(a.rough) rough FROM e{k - 1} a, box, e{k - 1} b WHERE b.g = a.g AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c)" for k in range(1, n + 1))
 
 
-def _chain(where: str = "true", blob: bool = True) -> str:
+def _chain(each: bool = False) -> str:
     part = lambda f, b: f"coalesce(({f}.e - {b}.e) / 2e-1, ({f}.e - a.e) / 1e-1, (a.e - {b}.e) / 1e-1, 0e0)"
-    joins = " ".join(f"LEFT JOIN e1 {k} ON {k}.r = a.r + {dr} AND {k}.c = a.c + {dc}" for k, dr, dc in (("ea", 0, 1), ("we", 0, -1), ("no", 1, 0), ("so", -1, 0)))
-    return f"""{_stats(where)}{_smooth(1)}, g AS (SELECT a.*, sqrt({part("ea", "we")} ** 2 + {part("no", "so")} ** 2) slope,
+    joins = " ".join(f"LEFT JOIN e1 {k} ON {k}.g = a.g AND {k}.r = a.r + {dr} AND {k}.c = a.c + {dc}" for k, dr, dc in (("ea", 0, 1), ("we", 0, -1), ("no", 1, 0), ("so", -1, 0)))
+    return f"""{_stats(each)}{_smooth(1)}, gr AS (SELECT a.*, sqrt({part("ea", "we")} ** 2 + {part("no", "so")} ** 2) slope,
  greatest({", ".join(f"coalesce(abs({k}.e - a.e), 0e0)" for k in ("ea", "we", "no", "so"))}) step FROM e1 a {joins}),
-l0 AS (SELECT *, rough > 5e-2 OR slope > {ROBOT.max_slope_tan!r} OR step > 18e-2 AS lethal FROM g),
-deg AS (SELECT a.r, a.c, count(*) k FROM l0 a, box, l0 b WHERE a.lethal AND b.lethal AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.r, a.c),
-big AS (SELECT DISTINCT a.r, a.c FROM deg a, box, deg b WHERE b.r = a.r + dr AND b.c = a.c + dc AND b.k >= 3),
-hot AS (SELECT DISTINCT b.r + dr r, b.c + dc c FROM big b, off WHERE dr*dr + dc*dc <= 9),
-cells AS (SELECT l0.r, l0.c, n, e, rough, slope, step, l0.lethal raw, big.r IS NOT NULL deblobbed, hot.r IS NOT NULL lethal,
- CASE WHEN hot.r IS NULL THEN 1e0 + 3e0 * rough / 5e-2 + 3e0 * slope / {ROBOT.max_slope_tan!r} END cost FROM l0 LEFT JOIN big USING (r, c) LEFT JOIN hot USING (r, c))"""
+l0 AS (SELECT *, rough > 5e-2 OR slope > {ROBOT.max_slope_tan!r} OR step > 18e-2 AS lethal FROM gr),
+deg AS (SELECT a.g, a.r, a.c, count(*) k FROM l0 a, box, l0 b WHERE a.lethal AND b.lethal AND b.g = a.g AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c),
+big AS (SELECT DISTINCT a.g, a.r, a.c FROM deg a, box, deg b WHERE b.g = a.g AND b.r = a.r + dr AND b.c = a.c + dc AND b.k >= 3),
+hot AS (SELECT DISTINCT b.g, b.r + dr r, b.c + dc c FROM big b, off WHERE dr*dr + dc*dc <= 9),
+cells AS (SELECT l0.g, l0.r, l0.c, n, e, rough, slope, step, l0.lethal raw, big.r IS NOT NULL deblobbed, hot.r IS NOT NULL lethal,
+ CASE WHEN hot.r IS NULL THEN 1e0 + 3e0 * rough / 5e-2 + 3e0 * slope / {ROBOT.max_slope_tan!r} END cost FROM l0 LEFT JOIN big USING (g, r, c) LEFT JOIN hot USING (g, r, c))"""
 
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -181,7 +180,7 @@ def stride_sample(spark, d):
     return cloud(spark, d).filter("l_orderkey % 7 = 0").groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.sum("z_mm").alias("sz"))
 
 
-@query(f"WITH {_stats()}{_smooth(3)} SELECT a.r AS row, a.c AS col, round(a.e, 6) AS once, round(b.e, 6) AS thrice FROM e1 a JOIN e3 b USING (r, c)")
+@query(f"WITH {_stats()}{_smooth(3)} SELECT a.r AS row, a.c AS col, round(a.e, 6) AS once, round(b.e, 6) AS thrice FROM e1 a JOIN e3 b USING (g, r, c)")
 def smooth(spark, d):
     base = grid.layers(stats(spark, d), 1e-3).select("grid_id", "row", "col", F.col("elevation"))
     one = grid.smoothed(base, 1)
@@ -193,40 +192,41 @@ def cost_grid(spark, d):
     return terrain(spark, d).select("row", "col", "n", _round("elevation"), _round("slope"), _round("step"), "lethal", _round("cost"))
 
 
-@query(f"WITH {_chain('scan_id = 1')} SELECT r AS row, c AS col, raw, deblobbed, lethal AS inflated FROM cells")
+@query(f"WITH {_chain(True)} SELECT g AS grid_id, r AS row, c AS col, raw, deblobbed, lethal AS inflated FROM cells")
 def lethal_steps(spark, d):
     raw = grid.lethal(grid.gradients(grid.smoothed(grid.layers(stats(spark, d, True), 1e-3), 1), 0.1), ROBOT).withColumn("raw", F.col("lethal"))
     clean = grid.without_specks(raw, 3).withColumn("deblobbed", F.col("lethal"))
-    return grid.dilated(clean, 3).select("row", "col", "raw", "deblobbed", F.col("lethal").alias("inflated"))
+    return grid.dilated(clean, 3).select("grid_id", "row", "col", "raw", "deblobbed", F.col("lethal").alias("inflated"))
 
 
-def _one(spark) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("grid_id"), F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"))
+def _grids(spark, d) -> DataFrame:
+    """The grid of each scan."""
+    return cloud(spark, d).select(F.col("scan_id").alias("grid_id")).distinct().select("grid_id", F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"))
 
 
-_ALL = "allc AS (SELECT CAST(a.i AS INT) r, CAST(b.i AS INT) c FROM range(0, 100) a(i), range(0, 100) b(i))"
+_ALL = "allc AS (SELECT g, CAST(a.i AS INT) r, CAST(b.i AS INT) c FROM (SELECT DISTINCT scan_id g FROM cloud), range(0, 100) a(i), range(0, 100) b(i))"
 
 
-@query(f"WITH {_chain('scan_id = 1')}, {_ALL} SELECT count(*) AS cells, count(*) FILTER (WHERE n IS NULL) AS unknown, count(*) FILTER (WHERE lethal) AS lethal, CAST(coalesce(sum(n), 0) AS BIGINT) AS points FROM allc LEFT JOIN cells USING (r, c)")
+@query(f"WITH {_chain(True)}, {_ALL} SELECT g AS grid_id, count(*) AS cells, count(*) FILTER (WHERE n IS NULL) AS unknown, count(*) FILTER (WHERE lethal) AS lethal, CAST(coalesce(sum(n), 0) AS BIGINT) AS points FROM allc LEFT JOIN cells USING (g, r, c) GROUP BY 1")
 def grid_meta(spark, d):
-    all_ = grid.dense(terrain(spark, d, True), _one(spark))
-    return all_.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("n").isNull()).alias("unknown"), F.count_if("lethal").alias("lethal"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
+    all_ = grid.dense(terrain(spark, d, True), _grids(spark, d))
+    return all_.groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("n").isNull()).alias("unknown"), F.count_if("lethal").alias("lethal"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
 
 
 @query(
-    f"""WITH {_chain('scan_id = 1')}, {_ALL}, h AS (SELECT greatest(quantile_cont(cost, 0.99), 1000001e-6) hi FROM cells)
-SELECT r AS row, c AS col, CAST(CASE WHEN n IS NULL THEN -1 WHEN lethal THEN 100 ELSE greatest(1e0, least(99e0, round_even((cost - 1e0) / (hi - 1e0) * 98e0, 0) + 1e0)) END AS INT) AS value FROM allc LEFT JOIN cells USING (r, c), h"""
+    f"""WITH {_chain(True)}, {_ALL}, h AS (SELECT g, greatest(quantile_cont(cost, 0.99), 1000001e-6) hi FROM cells GROUP BY g)
+SELECT g AS grid_id, r AS row, c AS col, CAST(CASE WHEN n IS NULL THEN -1 WHEN lethal THEN 100 ELSE greatest(1e0, least(99e0, round_even((cost - 1e0) / (hi - 1e0) * 98e0, 0) + 1e0)) END AS INT) AS value FROM allc LEFT JOIN cells USING (g, r, c) LEFT JOIN h USING (g)"""
 )
 def occupancy(spark, d):
-    return grid.occupancy(terrain(spark, d, True), _one(spark)).select("row", "col", "value")
+    return grid.occupancy(terrain(spark, d, True), _grids(spark, d)).select("grid_id", "row", "col", "value")
 
 
 @query(
-    f"""WITH {_chain('scan_id = 1')}, {_ALL}, f AS (SELECT r, c FROM cells WHERE NOT lethal), nf AS (SELECT r, c FROM allc ANTI JOIN f USING (r, c))
-SELECT r AS row, c AS col FROM f ANTI JOIN (SELECT DISTINCT nf.r + dr r, nf.c + dc c FROM nf, off WHERE dr*dr + dc*dc <= 1) x USING (r, c)"""
+    f"""WITH {_chain(True)}, {_ALL}, f AS (SELECT g, r, c FROM cells WHERE NOT lethal), nf AS (SELECT g, r, c FROM allc ANTI JOIN f USING (g, r, c))
+SELECT g AS grid_id, r AS row, c AS col FROM f ANTI JOIN (SELECT DISTINCT nf.g, nf.r + dr r, nf.c + dc c FROM nf, off WHERE dr*dr + dc*dc <= 1) x USING (g, r, c)"""
 )
 def erode_mask(spark, d):
-    return grid.eroded(terrain(spark, d, True).filter("NOT lethal"), _one(spark), 1).select("row", "col")
+    return grid.eroded(terrain(spark, d, True).filter("NOT lethal"), _grids(spark, d), 1).select("grid_id", "row", "col")
 
 
 _MEASURES = f"""{_CLOUD}, w AS (SELECT scan_id, CAST(y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, z_mm / 1e3 z, {KALMAN.sensor_var!r}::DOUBLE + {KALMAN.range_coeff!r}::DOUBLE * ((x_mm / 1e3 - 5) ** 2 + (y_mm / 1e3 - 5) ** 2 + (z_mm / 1e3 - 15e-1) ** 2) v FROM cloud),
@@ -281,17 +281,26 @@ def global_map(spark, d):
     return fusion.folded_map(local.withColumns({"ix": F.col("col"), "iy": F.col("row"), "distance": F.lit(0.0)})).select("ix", "iy", _round("elevation"), "class", "weight")
 
 
-_FREE = f"{_chain('scan_id <= 2')}, f AS (SELECT r, c, cost FROM cells WHERE NOT lethal)"
+_FREE = f"{_chain(True)}, f AS MATERIALIZED (SELECT g, r, c, cost FROM cells WHERE NOT lethal)"
 
 
 def free(spark, d) -> DataFrame:
-    t = grid.terrain(grid.cell_stats(cloud(spark, d).filter("scan_id <= 2").selectExpr("0L AS grid_id", "CAST(y_mm DIV 100 AS INT) AS row", "CAST(x_mm DIV 100 AS INT) AS col", "z_mm AS z")), ROBOT, CFG, 1e-3)
-    return t.filter("NOT lethal").select("grid_id", "row", "col", "elevation", "cost")
+    """Free cells of each scan's grid."""
+    return terrain(spark, d, True).filter("NOT lethal").select("grid_id", "row", "col", "elevation", "cost")
+
+
+def firsts(f: DataFrame) -> DataFrame:
+    """The first free cell of each grid."""
+    return f.groupBy("grid_id").agg(F.min(F.struct("row", "col")).alias("s")).select("grid_id", "s.row", "s.col")
 
 
-@query(f"WITH RECURSIVE {_FREE}, k AS (SELECT r, c, r * 100 + c id FROM f UNION SELECT b.r, b.c, k.id FROM k, box, f b WHERE b.r = k.r + dr AND b.c = k.c + dc AND b.r * 100 + b.c > k.id) SELECT r AS row, c AS col, CAST(min(id) // 100 AS INT) AS root_row, CAST(min(id) % 100 AS INT) AS root_col FROM k GROUP BY 1, 2")
+@query(
+    f"""WITH RECURSIVE {_FREE}, k(g, r, c, id) USING KEY (g, r, c) AS (SELECT g, r, c, r * 100 + c FROM f
+UNION SELECT b.g, b.r, b.c, min(k.id) FROM k, box, f b, recurring.k o WHERE b.g = k.g AND b.r = k.r + dr AND b.c = k.c + dc AND o.g = b.g AND o.r = b.r AND o.c = b.c AND k.id < o.id GROUP BY b.g, b.r, b.c)
+SELECT g AS grid_id, r AS row, c AS col, CAST(id // 100 AS INT) AS root_row, CAST(id % 100 AS INT) AS root_col FROM k"""
+)
 def components(spark, d):
-    return graph.components(free(spark, d)).select("row", "col", F.col("component.row").alias("root_row"), F.col("component.col").alias("root_col"))
+    return graph.components(free(spark, d)).select("grid_id", "row", "col", F.col("component.row").alias("root_row"), F.col("component.col").alias("root_col"))
 
 
 @query()
@@ -299,30 +308,32 @@ def largest_component(spark, d):
     return graph.largest_component(free(spark, d))
 
 
-@query(f"WITH RECURSIVE {_FREE}, k AS (SELECT r, c FROM (SELECT r, c FROM f ORDER BY r, c LIMIT 1) UNION SELECT b.r, b.c FROM k, box, f b WHERE abs(dr) + abs(dc) = 1 AND b.r = k.r + dr AND b.c = k.c + dc) SELECT r AS row, c AS col FROM k")
+@query(
+    f"""WITH RECURSIVE {_FREE}, k AS (SELECT g, CAST(min(r * 100 + c) // 100 AS INT) r, CAST(min(r * 100 + c) % 100 AS INT) c FROM f GROUP BY g
+UNION SELECT b.g, b.r, b.c FROM k, box, f b WHERE abs(dr) + abs(dc) = 1 AND b.g = k.g AND b.r = k.r + dr AND b.c = k.c + dc) SELECT g AS grid_id, r AS row, c AS col FROM k"""
+)
 def reachable(spark, d):
     f = free(spark, d)
-    start = f.groupBy("grid_id").agg(F.min(F.struct("row", "col")).alias("s")).select("grid_id", "s.row", "s.col")
-    return graph.reachable(f, start).select("row", "col")
+    return graph.reachable(f, firsts(f)).select("grid_id", "row", "col")
 
 
 @query()
 def shortest_cost(spark, d):
     f = free(spark, d)
-    start = f.groupBy("grid_id").agg(F.min(F.struct("row", "col")).alias("s")).select("grid_id", F.col("s.row").alias("start_row"), F.col("s.col").alias("start_col"))
-    return graph.cost_field(f, start).select("row", "col", _round("total"))
+    starts = firsts(f).withColumnsRenamed({"row": "start_row", "col": "start_col"})
+    return graph.cost_field(f, starts).select("grid_id", "row", "col", _round("total"))
 
 
-_GOALS = "q AS (SELECT o_orderkey query_id, CAST(o_orderkey * 37 % 100 AS INT) r0, CAST(o_custkey * 53 % 100 AS INT) c0, CAST(o_custkey * 71 % 100 AS INT) r1, CAST(o_orderkey * 91 % 100 AS INT) c1 FROM orders)"
+_GOALS = "q AS (SELECT o_orderkey query_id, 1 + o_orderkey % 7 g, CAST(o_orderkey * 37 % 100 AS INT) r0, CAST(o_custkey * 53 % 100 AS INT) c0, CAST(o_custkey * 71 % 100 AS INT) r1, CAST(o_orderkey * 91 % 100 AS INT) c1 FROM orders)"
 
 
 def goals(spark, d) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
-    return o.selectExpr("o_orderkey AS query_id", "0L AS grid_id", "CAST(o_orderkey * 37 % 100 AS INT) AS start_row", "CAST(o_custkey * 53 % 100 AS INT) AS start_col", "CAST(o_custkey * 71 % 100 AS INT) AS goal_row", "CAST(o_orderkey * 91 % 100 AS INT) AS goal_col")
+    return o.selectExpr("o_orderkey AS query_id", "1 + o_orderkey % 7 AS grid_id", "CAST(o_orderkey * 37 % 100 AS INT) AS start_row", "CAST(o_custkey * 53 % 100 AS INT) AS start_col", "CAST(o_custkey * 71 % 100 AS INT) AS goal_row", "CAST(o_orderkey * 91 % 100 AS INT) AS goal_col")
 
 
 @query(
-    f"""WITH {_FREE}, {_GOALS}, j AS (SELECT query_id, greatest(abs(f.r - r0), abs(f.c - c0)) k, f.r, f.c, r0, c0 FROM q, f WHERE abs(f.r - r0) < 25 AND abs(f.c - c0) < 25)
+    f"""WITH {_FREE}, {_GOALS}, j AS (SELECT query_id, greatest(abs(f.r - r0), abs(f.c - c0)) k, f.r, f.c, r0, c0 FROM q, f WHERE f.g = q.g AND abs(f.r - r0) < 25 AND abs(f.c - c0) < 25)
 SELECT query_id, first(r ORDER BY k, r - r0, c - c0) AS snap_row, first(c ORDER BY k, r - r0, c - c0) AS snap_col FROM j GROUP BY 1"""
 )
 def snap_free(spark, d):
@@ -330,11 +341,11 @@ def snap_free(spark, d):
 
 
 @query(
-    f"""WITH {_chain('scan_id = 1')}, {_ALL}, o AS (SELECT r, c FROM cells WHERE lethal)
-SELECT a.r AS row, a.c AS col, round(coalesce(min(greatest(abs(a.r - o.r), abs(a.c - o.c)) + (sqrt(2e0) - 1) * least(abs(a.r - o.r), abs(a.c - o.c))), 400), 6) AS distance FROM allc a LEFT JOIN o ON true GROUP BY 1, 2"""
+    f"""WITH {_chain(True)}, {_ALL}, o AS (SELECT g, r, c FROM cells WHERE lethal)
+SELECT a.g AS grid_id, a.r AS row, a.c AS col, round(coalesce(min(greatest(abs(a.r - o.r), abs(a.c - o.c)) + (sqrt(2e0) - 1) * least(abs(a.r - o.r), abs(a.c - o.c))), 400), 6) AS distance FROM allc a LEFT JOIN o ON o.g = a.g GROUP BY 1, 2, 3"""
 )
 def chamfer(spark, d):
-    return graph.chamfer(terrain(spark, d, True).filter("lethal"), _one(spark)).select("row", "col", _round("distance"))
+    return graph.chamfer(terrain(spark, d, True).filter("lethal"), _grids(spark, d)).select("grid_id", "row", "col", _round("distance"))
 
 
 _HALF = NAV.map_size / 2 - 3 * NAV.resolution
@@ -437,10 +448,9 @@ SELECT event_id, pid AS pose_id, pv AS pose_value FROM j WHERE k = 1"""
 )
 def asof_pose(spark, d):
     e = events(spark, d)
-    first = e.agg(F.min("event_type").alias("m"))
-    both = e.crossJoin(F.broadcast(first))  # one row
-    right = both.filter("event_type <> m").select("user_id", "t", "event_id", F.col("event_id").alias("pose_id"), F.col("value").alias("pose_value"))
-    return timed.latest_before(both.filter("event_type = m").select("user_id", "t", "event_id"), right, "user_id", "t", "event_id", ["pose_id", "pose_value"]).select("event_id", "pose_id", "pose_value")
+    first = e.agg(F.min("event_type")).scalar()
+    right = e.filter(F.col("event_type") != first).select("user_id", "t", "event_id", F.col("event_id").alias("pose_id"), F.col("value").alias("pose_value"))
+    return timed.latest_before(e.filter(F.col("event_type") == first).select("user_id", "t", "event_id"), right, "user_id", "t", "event_id", ["pose_id", "pose_value"]).select("event_id", "pose_id", "pose_value")
 
 
 @query(f"WITH {_EV}, k AS (SELECT *, sum(event_id % 50) OVER w tot, row_number() OVER w rn FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING)) SELECT event_id, user_id FROM k WHERE tot <= 200 OR rn = 1")
@@ -479,9 +489,19 @@ def plane_inliers(spark, d):
     ).select("p.*")
 
 
+#: Tasks among which the queries of a grid are dealt.
+SPREAD = 4
+
+
 def planned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Free cells, and the paths of all suppliers' routes between free cells next to their ends."""
     f = free(spark, d)
-    return f, graph.plan_paths(f, goals(spark, d).filter("query_id % 50 = 1").join(f.select("grid_id", F.col("row").alias("start_row"), F.col("col").alias("start_col")), ["grid_id", "start_row", "start_col"], "left_semi"))
+    ends = {"start": ("37 * s_suppkey", "53 * s_suppkey + 11 * s_nationkey"), "goal": ("71 * s_suppkey + 50", "91 * s_suppkey + 29 * s_nationkey + 50")}
+    asked = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS query_id", "1 + s_suppkey % 7 AS grid_id", *(f"CAST(({x}) % 100 AS INT) AS {end}_{axis}" for end, xs in ends.items() for axis, x in zip(("row", "col"), xs)))
+    for end in ends:
+        near = graph.snapped(f, asked.select("query_id", "grid_id", F.col(f"{end}_row").alias("row"), F.col(f"{end}_col").alias("col")), 25)
+        asked = asked.join(near, "query_id", "left").withColumns({f"{end}_{axis}": F.coalesce(f"snap_{axis}", f"{end}_{axis}") for axis in ("row", "col")}).drop("snap_row", "snap_col")
+    return f, graph.plan_paths(f, asked, spread=SPREAD)
 
 
 @query()
@@ -492,12 +512,11 @@ def plan_paths(spark, d):
 @query()
 def smooth_paths(spark, d):
     f, p = planned(spark, d)
-    return motion.smooth_paths(f, p.withColumn("grid_id", F.lit(0).cast("long")), 0.1).select("query_id", "seq", _round("x"), _round("y"))
+    return motion.smooth_paths(f, p.withColumn("grid_id", 1 + F.col("query_id") % 7), 0.1, spread=SPREAD).select("query_id", "seq", _round("x"), _round("y"))
 
 
 @query()
 def apf_rollouts(spark, d):
-    f = free(spark, d)
-    g = goals(spark, d).filter("query_id % 100 = 1")
-    agents = g.select(F.col("query_id").alias("agent_id"), "grid_id", (F.col("start_col") / 10.0).alias("x"), (F.col("start_row") / 10.0).alias("y"), F.array(F.struct((F.col("goal_col") / 10.0).alias("x"), (F.col("goal_row") / 10.0).alias("y"))).alias("goals"))
-    return motion.rollouts(f, agents, 0.1).groupBy("agent_id").agg(F.count(F.lit(1)).alias("steps"))
+    at = lambda k: f"s_suppkey * {k} % 100 / 1e1"
+    agents = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS agent_id", "1 + s_suppkey % 7 AS grid_id", f"{at(53)} AS x", f"{at(37)} AS y", f"array(struct({at(91)} AS x, {at(71)} AS y)) AS goals")
+    return motion.rollouts(free(spark, d), agents, 0.1, spread=SPREAD).groupBy("agent_id").agg(F.count(F.lit(1)).alias("steps"))
