@@ -49,24 +49,25 @@ cloud AS (SELECT scan_id, l_orderkey, x_mm, y_mm, {_Z} z_mm FROM b)"""
 
 
 def _stats(each: bool = False) -> str:
-    return f"""{_CLOUD}, st AS (SELECT {"scan_id" if each else "0::BIGINT"} g, CAST(y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, count(*) n, CAST(sum(z_mm) AS BIGINT) sz, CAST(sum(z_mm*z_mm) AS BIGINT) szz, min(z_mm) zmin, max(z_mm) zmax
+    # Grids are stacked, 1000 rows apart, so that a stencil joins on r and c alone.
+    return f"""{_CLOUD}, st AS (SELECT {"scan_id" if each else "0::BIGINT"} g, CAST({"1000 * scan_id + " if each else ""}y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, count(*) n, CAST(sum(z_mm) AS BIGINT) sz, CAST(sum(z_mm*z_mm) AS BIGINT) szz, min(z_mm) zmin, max(z_mm) zmax
  FROM cloud GROUP BY ALL),
 e0 AS (SELECT g, r, c, n, (sz / n) * 1e-3 e, sqrt(greatest(0e0, szz / n - (sz / n) * (sz / n))) * 1e-3 rough FROM st),
 off AS (SELECT CAST(a.i AS INT) dr, CAST(b.i AS INT) dc FROM range(-3, 4) a(i), range(-3, 4) b(i)), box AS (SELECT * FROM off WHERE abs(dr) <= 1 AND abs(dc) <= 1)"""
 
 
 def _smooth(n: int) -> str:
-    return "".join(f", e{k} AS (SELECT a.g, a.r, a.c, any_value(a.n) n, avg(b.e) e, any_value(a.rough) rough FROM e{k - 1} a, box, e{k - 1} b WHERE b.g = a.g AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c)" for k in range(1, n + 1))
+    return "".join(f", e{k} AS (SELECT a.g, a.r, a.c, any_value(a.n) n, avg(b.e) e, any_value(a.rough) rough FROM e{k - 1} a, box, e{k - 1} b WHERE b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c)" for k in range(1, n + 1))
 
 
 def _chain(each: bool = False) -> str:
     part = lambda f, b: f"coalesce(({f}.e - {b}.e) / 2e-1, ({f}.e - a.e) / 1e-1, (a.e - {b}.e) / 1e-1, 0e0)"
-    joins = " ".join(f"LEFT JOIN e1 {k} ON {k}.g = a.g AND {k}.r = a.r + {dr} AND {k}.c = a.c + {dc}" for k, dr, dc in (("ea", 0, 1), ("we", 0, -1), ("no", 1, 0), ("so", -1, 0)))
+    joins = " ".join(f"LEFT JOIN e1 {k} ON {k}.r = a.r + {dr} AND {k}.c = a.c + {dc}" for k, dr, dc in (("ea", 0, 1), ("we", 0, -1), ("no", 1, 0), ("so", -1, 0)))
     return f"""{_stats(each)}{_smooth(1)}, gr AS (SELECT a.*, sqrt({part("ea", "we")} ** 2 + {part("no", "so")} ** 2) slope,
  greatest({", ".join(f"coalesce(abs({k}.e - a.e), 0e0)" for k in ("ea", "we", "no", "so"))}) step FROM e1 a {joins}),
 l0 AS (SELECT *, rough > 5e-2 OR slope > {ROBOT.max_slope_tan!r} OR step > 18e-2 AS lethal FROM gr),
-deg AS (SELECT a.g, a.r, a.c, count(*) k FROM l0 a, box, l0 b WHERE a.lethal AND b.lethal AND b.g = a.g AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c),
-big AS (SELECT DISTINCT a.g, a.r, a.c FROM deg a, box, deg b WHERE b.g = a.g AND b.r = a.r + dr AND b.c = a.c + dc AND b.k >= 3),
+deg AS (SELECT a.g, a.r, a.c, count(*) k FROM l0 a, box, l0 b WHERE a.lethal AND b.lethal AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c),
+big AS (SELECT DISTINCT a.g, a.r, a.c FROM deg a, box, deg b WHERE b.r = a.r + dr AND b.c = a.c + dc AND b.k >= 3),
 hot AS (SELECT DISTINCT b.g, b.r + dr r, b.c + dc c FROM big b, off WHERE dr*dr + dc*dc <= 9),
 cells AS (SELECT l0.g, l0.r, l0.c, n, e, rough, slope, step, l0.lethal raw, big.r IS NOT NULL deblobbed, hot.r IS NOT NULL lethal,
  CASE WHEN hot.r IS NULL THEN 1e0 + 3e0 * rough / 5e-2 + 3e0 * slope / {ROBOT.max_slope_tan!r} END cost FROM l0 LEFT JOIN big USING (g, r, c) LEFT JOIN hot USING (g, r, c))"""
@@ -192,7 +193,7 @@ def cost_grid(spark, d):
     return terrain(spark, d).select("row", "col", "n", _round("elevation"), _round("slope"), _round("step"), "lethal", _round("cost"))
 
 
-@query(f"WITH {_chain(True)} SELECT g AS grid_id, r AS row, c AS col, raw, deblobbed, lethal AS inflated FROM cells")
+@query(f"WITH {_chain(True)} SELECT g AS grid_id, r % 1000 AS row, c AS col, raw, deblobbed, lethal AS inflated FROM cells")
 def lethal_steps(spark, d):
     raw = grid.lethal(grid.gradients(grid.smoothed(grid.layers(stats(spark, d, True), 1e-3), 1), 0.1), ROBOT).withColumn("raw", F.col("lethal"))
     clean = grid.without_specks(raw, 3).withColumn("deblobbed", F.col("lethal"))
@@ -204,7 +205,7 @@ def _grids(spark, d) -> DataFrame:
     return cloud(spark, d).select(F.col("scan_id").alias("grid_id")).distinct().select("grid_id", F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"))
 
 
-_ALL = "allc AS (SELECT g, CAST(a.i AS INT) r, CAST(b.i AS INT) c FROM (SELECT DISTINCT scan_id g FROM cloud), range(0, 100) a(i), range(0, 100) b(i))"
+_ALL = "allc AS (SELECT g, CAST(1000 * g + a.i AS INT) r, CAST(b.i AS INT) c FROM (SELECT DISTINCT scan_id g FROM cloud), range(0, 100) a(i), range(0, 100) b(i))"
 
 
 @query(f"WITH {_chain(True)}, {_ALL} SELECT g AS grid_id, count(*) AS cells, count(*) FILTER (WHERE n IS NULL) AS unknown, count(*) FILTER (WHERE lethal) AS lethal, CAST(coalesce(sum(n), 0) AS BIGINT) AS points FROM allc LEFT JOIN cells USING (g, r, c) GROUP BY 1")
@@ -215,7 +216,7 @@ def grid_meta(spark, d):
 
 @query(
     f"""WITH {_chain(True)}, {_ALL}, h AS (SELECT g, greatest(quantile_cont(cost, 0.99), 1000001e-6) hi FROM cells GROUP BY g)
-SELECT g AS grid_id, r AS row, c AS col, CAST(CASE WHEN n IS NULL THEN -1 WHEN lethal THEN 100 ELSE greatest(1e0, least(99e0, round_even((cost - 1e0) / (hi - 1e0) * 98e0, 0) + 1e0)) END AS INT) AS value FROM allc LEFT JOIN cells USING (g, r, c) LEFT JOIN h USING (g)"""
+SELECT g AS grid_id, r % 1000 AS row, c AS col, CAST(CASE WHEN n IS NULL THEN -1 WHEN lethal THEN 100 ELSE greatest(1e0, least(99e0, round_even((cost - 1e0) / (hi - 1e0) * 98e0, 0) + 1e0)) END AS INT) AS value FROM allc LEFT JOIN cells USING (g, r, c) LEFT JOIN h USING (g)"""
 )
 def occupancy(spark, d):
     return grid.occupancy(terrain(spark, d, True), _grids(spark, d)).select("grid_id", "row", "col", "value")
@@ -223,7 +224,7 @@ def occupancy(spark, d):
 
 @query(
     f"""WITH {_chain(True)}, {_ALL}, f AS (SELECT g, r, c FROM cells WHERE NOT lethal), nf AS (SELECT g, r, c FROM allc ANTI JOIN f USING (g, r, c))
-SELECT g AS grid_id, r AS row, c AS col FROM f ANTI JOIN (SELECT DISTINCT nf.g, nf.r + dr r, nf.c + dc c FROM nf, off WHERE dr*dr + dc*dc <= 1) x USING (g, r, c)"""
+SELECT g AS grid_id, r % 1000 AS row, c AS col FROM f ANTI JOIN (SELECT DISTINCT nf.g, nf.r + dr r, nf.c + dc c FROM nf, off WHERE dr*dr + dc*dc <= 1) x USING (g, r, c)"""
 )
 def erode_mask(spark, d):
     return grid.eroded(terrain(spark, d, True).filter("NOT lethal"), _grids(spark, d), 1).select("grid_id", "row", "col")
@@ -296,8 +297,8 @@ def firsts(f: DataFrame) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {_FREE}, k(g, r, c, id) USING KEY (g, r, c) AS (SELECT g, r, c, r * 100 + c FROM f
-UNION SELECT b.g, b.r, b.c, min(k.id) FROM k, box, f b, recurring.k o WHERE b.g = k.g AND b.r = k.r + dr AND b.c = k.c + dc AND o.g = b.g AND o.r = b.r AND o.c = b.c AND k.id < o.id GROUP BY b.g, b.r, b.c)
-SELECT g AS grid_id, r AS row, c AS col, CAST(id // 100 AS INT) AS root_row, CAST(id % 100 AS INT) AS root_col FROM k"""
+UNION SELECT b.g, b.r, b.c, min(k.id) FROM k, box, f b, recurring.k o WHERE b.r = k.r + dr AND b.c = k.c + dc AND o.r = b.r AND o.c = b.c AND k.id < o.id GROUP BY b.g, b.r, b.c)
+SELECT g AS grid_id, r % 1000 AS row, c AS col, CAST(id // 100 % 1000 AS INT) AS root_row, CAST(id % 100 AS INT) AS root_col FROM k"""
 )
 def components(spark, d):
     return graph.components(free(spark, d)).select("grid_id", "row", "col", F.col("component.row").alias("root_row"), F.col("component.col").alias("root_col"))
@@ -310,7 +311,7 @@ def largest_component(spark, d):
 
 @query(
     f"""WITH RECURSIVE {_FREE}, k AS (SELECT g, CAST(min(r * 100 + c) // 100 AS INT) r, CAST(min(r * 100 + c) % 100 AS INT) c FROM f GROUP BY g
-UNION SELECT b.g, b.r, b.c FROM k, box, f b WHERE abs(dr) + abs(dc) = 1 AND b.g = k.g AND b.r = k.r + dr AND b.c = k.c + dc) SELECT g AS grid_id, r AS row, c AS col FROM k"""
+UNION SELECT b.g, b.r, b.c FROM k, box, f b WHERE abs(dr) + abs(dc) = 1 AND b.r = k.r + dr AND b.c = k.c + dc) SELECT g AS grid_id, r % 1000 AS row, c AS col FROM k"""
 )
 def reachable(spark, d):
     f = free(spark, d)
@@ -333,7 +334,7 @@ def goals(spark, d) -> DataFrame:
 
 
 @query(
-    f"""WITH {_FREE}, {_GOALS}, j AS (SELECT query_id, greatest(abs(f.r - r0), abs(f.c - c0)) k, f.r, f.c, r0, c0 FROM q, f WHERE f.g = q.g AND abs(f.r - r0) < 25 AND abs(f.c - c0) < 25)
+    f"""WITH {_FREE}, {_GOALS}, j AS (SELECT query_id, greatest(abs(f.r % 1000 - r0), abs(f.c - c0)) k, f.r % 1000 r, f.c, r0, c0 FROM q, f WHERE f.g = q.g AND abs(f.r % 1000 - r0) < 25 AND abs(f.c - c0) < 25)
 SELECT query_id, first(r ORDER BY k, r - r0, c - c0) AS snap_row, first(c ORDER BY k, r - r0, c - c0) AS snap_col FROM j GROUP BY 1"""
 )
 def snap_free(spark, d):
@@ -342,7 +343,7 @@ def snap_free(spark, d):
 
 @query(
     f"""WITH {_chain(True)}, {_ALL}, o AS (SELECT g, r, c FROM cells WHERE lethal)
-SELECT a.g AS grid_id, a.r AS row, a.c AS col, round(coalesce(min(greatest(abs(a.r - o.r), abs(a.c - o.c)) + (sqrt(2e0) - 1) * least(abs(a.r - o.r), abs(a.c - o.c))), 400), 6) AS distance FROM allc a LEFT JOIN o ON o.g = a.g GROUP BY 1, 2, 3"""
+SELECT a.g AS grid_id, a.r % 1000 AS row, a.c AS col, round(coalesce(min(greatest(abs(a.r - o.r), abs(a.c - o.c)) + (sqrt(2e0) - 1) * least(abs(a.r - o.r), abs(a.c - o.c))), 400), 6) AS distance FROM allc a LEFT JOIN o ON o.g = a.g GROUP BY 1, 2, 3"""
 )
 def chamfer(spark, d):
     return graph.chamfer(terrain(spark, d, True).filter("lethal"), _grids(spark, d)).select("grid_id", "row", "col", _round("distance"))
