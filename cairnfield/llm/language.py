@@ -2,7 +2,7 @@
 
 A word's score for a language sums log-probabilities of its letters, pairs and triples of letters. Going over the words,
 another language costs a fixed penalty, so a path through the words changes language only where that pays. Documents of a
-batch take each step together; words that a worker has scored are kept in a bounded table.
+batch take each step together; words that a task has scored are kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ BINS = 1 << 14
 PENALTY, SCALE = 10.0, 0.4
 #: A language is a candidate for a script if at least this share of its letters has it; others lose so much a word.
 SCRIPT_SHARE, OTHER_SCRIPT = 0.01, 30.0
-#: Words that a worker keeps, words whose path is searched at a time, and records in a batch.
-KEPT_WORDS, CELLS, RECORDS = 400_000, 1 << 22, 1024
+#: Words that a task keeps, words whose path is searched at a time, and records in a batch.
+KEPT_WORDS, CELLS, RECORDS = 150_000, 1 << 22, 1024
 UNKNOWN = "und"
 #: Least share of letters in the language that a kept document has.
 LEAST_SHARE = 0.3
@@ -157,7 +157,7 @@ def viterbi(scores: np.ndarray, rows: list[np.ndarray], penalty: float = PENALTY
 
 
 class Labeller:
-    """A worker's model with the words that it has scored."""
+    """A task's model with the words that it has scored; it goes with the task, as idle workers would add up."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -224,31 +224,6 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model.of(languages, counts)
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
-def _labeller(shared) -> Labeller:
-    """The worker's labeller of a broadcast model."""
-    if shared.id not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[shared.id] = Labeller(shared.value[1])
-    return _LABELLERS[shared.id]
-
-
-class _Shared:
-    """A broadcast model with a name that workers know it by."""
-
-    def __init__(self, spark: SparkSession, model: Model):
-        import uuid
-
-        self.id = uuid.uuid4().int
-        self.broadcast = spark.sparkContext.broadcast((self.id, model))
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, lang_pred, score, spans: a row for each row.
 
@@ -256,7 +231,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     same, an empty table gives an empty one; other columns are left out and have no part in a prediction.
     """
     small_batches(docs.sparkSession, RECORDS)
-    shared = _Shared(docs.sparkSession, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
     schema = T.StructType(
         [docs.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
@@ -264,7 +239,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        labeller = _labeller(shared)
+        labeller = Labeller(shared.value)
         for b in batches:
             got = labeller.label(b.column(2).to_pylist())
             spans = [[dict(zip(("start", "end", "lang"), s)) for s in g[2]] for g in got]
@@ -276,11 +251,11 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 def kept_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with a known language that holds for at least LEAST_SHARE of their letters, with the columns of `docs`."""
     small_batches(docs.sparkSession, RECORDS)
-    shared = _Shared(docs.sparkSession, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        labeller = _labeller(shared)
+        labeller = Labeller(shared.value)
         for b in batches:
             yield b.filter(pa.array([lang != UNKNOWN and share >= LEAST_SHARE for lang, share, _ in labeller.label(b.column(place).to_pylist())], pa.bool_()))
 
