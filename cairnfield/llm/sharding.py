@@ -3,8 +3,10 @@
 Documents with equal texts are linked. Groups larger than a shard are first cut into chunks of at most a shard. Documents
 start on shards dealt evenly; in each round a chunk's documents vote for the shard that most of them are on, and move there
 as far as the shard's quota lets them, larger chunks first. A chunk without room is dealt to another shard for the next
-round. What is left at the end (documents without links, and chunks that found no room) fills the shards up to their
-quotas, so that counts are at most one apart (law `rows`).
+round. Chunks of over half a shard, of which there are at most twice as many as shards, are placed before the rounds, and
+what still waits after them goes, largest first, to shards with room, until no waiting chunk fits any shard. Only those are
+cut: their documents lie one after the other over the shards with most room. Documents without links then fill the shards up
+to their quotas, so that counts are at most one apart (law `rows`).
 """
 
 from __future__ import annotations
@@ -43,21 +45,48 @@ def shards_of(units: DataFrame, rows: int, shards: int, rounds: int) -> DataFram
 
     `units` is a written table (unit, n, label): `label` is the shard that most documents of the chunk are on.
     """
-    placed, waiting = None, units.withColumn("used", F.lit(0).cast("long"))
+    spark, schema = units.sparkSession, units.select("unit", "n", F.col("label").alias("shard")).schema
+    free = [rows // shards + (s < rows % shards) for s in range(shards)]
+    large = []
+    for u in sorted(units.filter(F.col("n") * 2 > rows // shards).collect(), key=lambda u: (-u["n"], u["unit"])):
+        # Where most of its documents are, or else the shard with least room that is enough.
+        s = min(range(shards), key=lambda s: (free[s] < u["n"], s != u["label"], free[s], s))
+        if free[s] >= u["n"]:
+            free[s] -= u["n"]
+            large.append((u["unit"], u["n"], s))
+    placed = staged(spark.createDataFrame(large, schema), "placed")
+    waiting = units.join(F.broadcast(placed.select("unit")), "unit", "left_anti").withColumn("used", F.lit(0).cast("long"))
     for r in range(rounds):
+        used = placed.groupBy(F.col("shard").alias("label")).agg(F.sum("n").alias("u"))
         if r:
-            used = placed.groupBy(F.col("shard").alias("label")).agg(F.sum("n").alias("u"))
             # Without room where most of its documents are, a chunk asks elsewhere, another shard in each round.
             moved = waiting.select("unit", "n", F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(shards)).cast("int").alias("label"))
-            waiting = moved.join(F.broadcast(used), "label", "left").withColumn("used", F.coalesce("u", F.lit(0)).cast("long")).drop("u")
+        else:
+            moved = waiting.select("unit", "n", "label")
+        waiting = moved.join(F.broadcast(used), "label", "left").withColumn("used", F.coalesce("u", F.lit(0)).cast("long")).drop("u")
         salt = _weight(F.col("n")) * 4096 + F.pmod(F.xxhash64("unit"), F.lit(4096))
         asked = prefix(waiting, "label", salt, "n", ["unit"], "before")
         asked = staged(asked.withColumn("fits", F.col("used") + F.col("before") + F.col("n") <= quota(rows, shards, F.col("label"))), "asked")
         taken = asked.filter("fits").select("unit", "n", F.col("label").alias("shard"))
-        placed = staged(taken if placed is None else placed.unionByName(taken), "placed")
+        placed = staged(placed.unionByName(taken), "placed")
         waiting = asked.filter("NOT fits").select("unit", "n", "label")
         if waiting.isEmpty():
             break
+    # Of each size, so many go to each shard; there are fewer sizes than twice the root of the rows.
+    used = dict(placed.groupBy("shard").agg(F.sum("n")).collect())
+    free = [rows // shards + (s < rows % shards) - used.get(s, 0) for s in range(shards)]
+    runs = []
+    for n, count in sorted(waiting.groupBy("n").count().collect(), reverse=True):
+        at = 0
+        for s in range(shards):
+            if (fit := min(count - at, free[s] // n)) > 0:
+                runs.append((n, at, at + fit, s))
+                at, free[s] = at + fit, free[s] - fit * n
+    if runs:
+        ranked = salted_rank(waiting.select("unit", "n"), ["n"], ["unit"], F.pmod(F.xxhash64("unit"), F.lit(256)), "rank")
+        to = F.broadcast(spark.createDataFrame(runs, "n long, first long, end long, shard int"))
+        fits = ranked.join(to, "n").filter("rank >= first AND rank < end").select("unit", "n", "shard")
+        placed = staged(placed.unionByName(fits), "placed")
     salt = F.pmod(F.xxhash64("unit"), F.lit(4096))
     return prefix(placed, "shard", salt, "n", ["unit"], "base")
 
@@ -84,23 +113,32 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     ranked = staged(ranked.withColumn("unit", F.when(F.col("total") > 1, F.struct("same", "chunk"))).withColumn("start", F.pmod(F.xxhash64(key, "rank", unit), F.lit(shards)).cast("int")), "ranked")
     votes = ranked.filter("unit IS NOT NULL").groupBy("unit", "start").agg(F.count(F.lit(1)).alias("votes"))
     units = votes.groupBy("unit").agg(F.sum("votes").alias("n"), F.min_by("start", F.struct(-F.col("votes"), "start")).alias("label")).filter("n > 1")
-    placed = staged(shards_of(staged(units, "units"), rows, shards, rounds), "placed")
+    units = staged(units, "units")
+    placed = staged(shards_of(units, rows, shards, rounds), "placed")
     # Free places by shard: `shards` numbers, whatever the input.
     used = dict(placed.groupBy("shard").agg(F.sum("n")).collect())
     free = [rows // shards + (s < rows % shards) - used.get(s, 0) for s in range(shards)]
-    firsts = [sum(free[:s]) for s in range(shards)]
+    # Shards with most room come first, so that what must be cut is cut least.
+    turn = sorted(range(shards), key=lambda s: -free[s])
+    firsts = [sum(free[s] for s in turn[:i]) for i in range(shards)]
     # Documents without links have no chunk; they stay out of the join, in which they would meet in one task.
     joined = ranked.filter("unit IS NOT NULL").join(placed.select("unit", "shard", "base"), "unit", "left")
     alone = ranked.filter("unit IS NULL").withColumn("shard", F.lit(None).cast("int"))
     done = joined.filter("shard IS NOT NULL").select(key, "size", "text_crc32", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))
-    rest = joined.drop("base").unionByName(alone).filter("shard IS NULL")
+    cut = units.join(placed.select("unit"), "unit", "left_anti")
+    cut = staged(prefix(cut.withColumn("all", F.lit(0)), "all", F.pmod(F.xxhash64("unit"), F.lit(4096)), "n", ["unit"], "base").select("unit", "n", "base"), "cut")
+    taken = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    waiting = joined.drop("base").filter("shard IS NULL").join(cut.select("unit", "base"), "unit", "left")
+    whole = waiting.filter("base IS NOT NULL").withColumn("place", F.col("base") + F.col("at")).select(key, "size", "text_crc32", "place")
+    rest = waiting.filter("base IS NULL").drop("base").unionByName(alone)
     left = staged(rest.select(key, "size", "text_crc32", "same", "rank", F.lit(0).alias("one")), "left")
     numbered = salted_rank(left, ["one"], [key, "same", "rank"], F.pmod(F.xxhash64(key, "same", "rank"), F.lit(max(256, buckets_for(rows)))), "place")
-    # Shards without free places share their first place with the next, so the last one that begins at or before is meant.
-    shard = F.size(F.filter(F.array(*(F.lit(f).cast("long") for f in firsts)), lambda f: f <= F.col("place"))) - 1
-    numbered = numbered.withColumn("shard", shard.cast("int"))
-    of = lambda xs: F.element_at(F.array(*(F.lit(x).cast("long") for x in xs)), F.col("shard") + 1)
-    filled = numbered.select(key, "size", "text_crc32", "shard", (F.col("place") - of(firsts) + of([used.get(s, 0) for s in range(shards)])).cast("long").alias("slot"))
+    numbered = numbered.select(key, "size", "text_crc32", (F.col("place") + taken).alias("place")).unionByName(whole)
+    # Shards without free places come last, and begin where all places end.
+    turned = F.size(F.filter(F.array(*(F.lit(f).cast("long") for f in firsts)), lambda f: f <= F.col("place"))) - 1
+    numbered = numbered.withColumn("turn", turned.cast("int"))
+    of = lambda xs: F.element_at(F.array(*(F.lit(x).cast("long") for x in xs)), F.col("turn") + 1)
+    filled = numbered.select(key, "size", "text_crc32", of(turn).cast("int").alias("shard"), (F.col("place") - of(firsts) + of([used.get(s, 0) for s in turn])).cast("long").alias("slot"))
     both = done.unionByName(filled)
     return both.select(key, "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
