@@ -6,7 +6,9 @@ keeps what it has encoded in a bounded table of pieces, so that memory does not
 
 from __future__ import annotations
 
+import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,16 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches
+from .common import documents, slices
 
 #: How byte-level BPE cuts a text into words: fixed by the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker keeps; at the limit it starts anew.
-KEPT_PIECES = 600_000
+#: Pieces that a worker keeps, about 75 MB; at the limit it starts anew.
+KEPT_PIECES = 500_000
 #: Longer words go to a heap, because scanning an array for its minimum is quadratic.
 SHORT_WORD = 128
-#: Bytes of ids that are gathered before a batch leaves the worker.
-BATCH_BYTES = 4 << 20
 _NONE = 1 << 60
 
 
@@ -115,37 +115,25 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        byte_of = {c: b for b, c in enumerate(letters)}
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.bytes_of = [b""] * size
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(byte_of[c] for c in token)
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
-        find = regex.compile(WORDS).findall
         if own:
             byte_id = [vocab[c] for c in letters]
             pairs = {}
             for rank, m in enumerate(spec["model"]["merges"]):
                 a, b = m if isinstance(m, list) else m.split(" ")
                 pairs[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
-            pack = lambda ids: np.array(ids, self.dtype).tobytes()
-
-            def word(w: str) -> bytes:
-                raw = w.encode()
-                return pack((merge_short if len(raw) <= SHORT_WORD else merge_long)(raw, byte_id, pairs))
+            word = lambda w: (merge_short if len(raw := w.encode()) <= SHORT_WORD else merge_long)(raw, byte_id, pairs)
         else:
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path).model
-
-            def word(w: str) -> bytes:
-                return np.array([t.id for t in model.tokenize("".join([letters[b] for b in w.encode()]))], self.dtype).tobytes()
-
-        self.pieces = Pieces(find, word, limit)
+            tokenize = Tokenizer.from_file(path).model.tokenize
+            plain, space = re.compile(r"[ -~]*").fullmatch, letters[32]
+            word = lambda w: [t.id for t in tokenize(w.replace(" ", space) if plain(w) else "".join([letters[b] for b in w.encode()]))]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces = Pieces(regex.compile(WORDS).findall, lambda w: array(code, word(w)).tobytes(), limit)
         self.odd = re.compile(r"\s\s|[\x00\x1c-\x1f]").search
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -167,11 +155,32 @@ class ByteBPE:
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.dtype)
 
+
+class Decoder:
+    """The bytes of every id of a vocabulary file; no merges are read."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(byte_of[c] for c in token)
+        for token, i in special.items():
+            self.bytes_of[i] = token.encode()
+        self.numerals = [str(i) for i in range(len(self.bytes_of))]
+
     def text(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, as in the library."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str | None) -> Decoder:
+    return Decoder(path or default_vocab())
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str | None, own: bool) -> ByteBPE:
     """The worker's encoder: read once for a process."""
@@ -179,19 +188,11 @@ def encoder(path: str | None, own: bool) -> ByteBPE:
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str | None, own: bool, end: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.dtype]]:
-    """Slices of the batches (key columns, text last) with the packed ids of their texts, a few MB at a time; null texts are empty."""
+    """Slices of the batches (key columns, text last), a few MB at a time, with the packed ids of their texts; null texts are empty."""
     bpe = encoder(path, own)
     tail = b"" if end is None else np.array([end], bpe.dtype).tobytes()
-    for batch in batches:
-        at, size, out = 0, 0, []
-        for i, text in enumerate(batch.column(batch.num_columns - 1)):
-            out.append(p := bpe.packed(text.as_py() or "") + tail)
-            size += len(p)
-            if size >= BATCH_BYTES:
-                yield batch.slice(at, len(out)), out, bpe.dtype
-                at, size, out = i + 1, 0, []
-        if out:
-            yield batch.slice(at, len(out)), out, bpe.dtype
+    for rows in slices(batches):
+        yield rows, [bpe.packed(t.as_py() or "") + tail for t in rows.column(rows.num_columns - 1)], bpe.dtype
 
 
 def id_lists(packed: list[bytes], dtype: np.dtype) -> pa.ListArray:
@@ -206,7 +207,6 @@ def encode(df: DataFrame, key: list[str], text: str = "text", vocab: str | None
     A null or empty text has no ids (but for `end`). Repeated rows stay repeated; an empty table gives an empty one. Other
     columns are left out, so none can clash with `ids`. `vocab` is the path of a byte-level vocabulary file.
     """
-    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[k] for k in key), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
@@ -217,31 +217,62 @@ def encode(df: DataFrame, key: list[str], text: str = "text", vocab: str | None
 
 
 def decode(df: DataFrame, key: list[str], ids: str = "ids", vocab: str | None = None) -> DataFrame:
-    """`key` columns, `ids`, and the `text` that they stand for. Null or no ids give the empty text; an id outside the vocabulary raises."""
-    small_batches(df.sparkSession)
+    """`key` columns, `ids`, and the `text` that they stand for.
+
+    Null or no ids give the empty text; an id outside the vocabulary raises. Repeated rows stay repeated, an empty table gives
+    an empty one, other columns are left out.
+    """
     schema = T.StructType([*(df.schema[k] for k in key), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
 
     def run(batches):
-        bpe = encoder(vocab, True)
+        known = decoder(vocab)
         for batch in batches:
-            column = batch.column(len(key))
             for i in range(0, batch.num_rows, 32):
-                part = column.slice(i, 32)
-                texts = [bpe.text(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in part]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 32) for c in batch.columns[: len(key)]), part, pa.array(texts, pa.string())], [*key, "ids", "text"])
+                part = batch.slice(i, 32)
+                texts = [known.text(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in part.column(len(key))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*key, "ids", "text"])
 
     return df.select(*key, F.col(ids)).mapInArrow(run, schema)
 
 
+#: What `round_trip` can return, and the types.
+OUTPUTS = {
+    "ids": (T.ArrayType(T.IntegerType(), False), pa.list_(pa.int32())),
+    "decoded": (T.StringType(), pa.string()),
+    "n_tokens": (T.LongType(), pa.int64()),
+    "ids_sha256": (T.StringType(), pa.string()),
+    "decoded_sha256": (T.StringType(), pa.string()),
+}
+
+
+def round_trip(df: DataFrame, key: list[str], text: str = "text", vocab: str | None = None, columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """`key` columns and the named `columns` of OUTPUTS: every whole text encoded, and its ids decoded, in one pass and one worker.
+
+    Digests are of the decimal ids joined by commas and of the decoded text's UTF-8. A null text counts as the empty one, which
+    has no ids. Repeated rows stay repeated, an empty table gives an empty one, columns not in `key` are left out.
+    """
+    schema = T.StructType([*(df.schema[k] for k in key), *(T.StructField(c, OUTPUTS[c][0]) for c in columns)])
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+
+    def run(batches):
+        known = decoder(vocab)
+        numeral = known.numerals.__getitem__
+        for rows, packed, dtype in encoded_batches(batches, vocab, True):
+            found: dict[str, list] = {c: [] for c in columns}
+            for p in packed:
+                own = np.frombuffer(p, dtype).tolist()
+                decoded = known.text(own) if {"decoded", "decoded_sha256"} & found.keys() else None
+                values = {"ids": lambda: own, "decoded": lambda: decoded, "n_tokens": lambda: len(own), "ids_sha256": lambda: digest(",".join(map(numeral, own)).encode()), "decoded_sha256": lambda: digest(decoded.encode())}  # noqa: B023
+                for c, out in found.items():
+                    out.append(values[c]())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array(found[c], OUTPUTS[c][1]) for c in columns)], schema.names)
+
+    return df.select(*key, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the text decoded from them, as digests."""
-    both = decode(encode(documents(spark, sf_dir), ["doc_id"]), ["doc_id"])
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return round_trip(documents(spark, sf_dir), ["doc_id"], columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {"op2_bpe": op2_bpe}

@@ -6,13 +6,14 @@ import os
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a salted bucket of a rank should hold; the number of buckets follows the input.
 ROWS_PER_BUCKET = 200_000
-#: Records that go to a Python worker at a time; texts may be long, so this is far below Spark's default.
-ARROW_RECORDS = 256
+#: Records, and bytes of their texts, that a worker goes over at a time.
+ARROW_RECORDS, SLICE_BYTES = 4096, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +48,27 @@ def file_system(uri: str):
     return fs.LocalFileSystem(), os.path.abspath(uri)
 
 
-def small_batches(spark: SparkSession, records: int = ARROW_RECORDS) -> None:
+def slices(batches, records: int = ARROW_RECORDS, size: int = SLICE_BYTES, column: int = -1):
+    """Stretches of Arrow batches with at most so many rows and, but for a single longer row, so many bytes in `column`, the last one.
+
+    Spark bounds its batches by bytes, not by what a worker makes of them; so operators go over slices, and no session
+    setting is touched.
+    """
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[column]), 0).to_numpy(zero_copy_only=False).astype("int64"))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            end = min(at + records, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            end = min(end, batch.num_rows)
+            at, before = end, int(ends[end - 1])
+
+
+def small_batches(spark: SparkSession, records: int = 256) -> None:
     """Bound the Arrow batches that Python workers get, unless the session has a lower bound already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))

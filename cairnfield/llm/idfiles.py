@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoded_batches
-from .common import documents, file_system, new_path, small_batches
+from .common import documents, file_system, new_path
 
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, BATCH = 1024, 128
@@ -100,7 +100,6 @@ def write_ids(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
     alone. An empty table writes no file. Only (file, documents, ids) of each file comes to the driver.
     """
     spark = df.sparkSession
-    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(key, F.col(text).alias("__text"))
     rows = rows.repartitionByRange(parts, F.col(key), F.xxhash64("__text")).sortWithinPartitions(F.col(key), F.xxhash64("__text"))

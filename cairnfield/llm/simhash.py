@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches, staged
+from .common import documents, slices, staged
 
 #: Words in a shingle, seed of its hash, and differing bits of linked fingerprints.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -47,11 +47,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, key: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Key columns and `fp`, the fingerprint's bits as a long, a row for each row."""
-    small_batches(docs.sparkSession)
     schema = T.StructType([*(docs.schema[k] for k in key), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(t.as_py(), shingle) for t in b.column(len(key))], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], schema.names)
 
@@ -105,7 +104,6 @@ def compared(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints in column `fp` of a written table; they connect all that is linked."""
     spark = fps.sparkSession
-    small_batches(spark)
     width = 64 // SUBWORDS
     counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))).cast("int") for i in range(SUBWORDS)]
     placed = fps.select("fp", F.array(*counts).alias("place"))
