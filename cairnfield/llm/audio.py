@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches
+from .common import documents, slices
 
 #: Bytes that a payload is a multiple of, and the byte that fills it up.
 UNIT, FILL = 576, b"\xff"
@@ -130,7 +130,7 @@ def segments(level: np.ndarray, enter: float = ENTER, leave: float = LEAVE) -> l
 
 
 def tensor_bytes(mel: np.ndarray, found: list[tuple[int, int]]) -> bytes:
-    """An Arrow stream: tensors of TENSOR frames by BANDS with start and end in seconds; segments in the schema's metadata."""
+    """An Arrow stream: tensors of TENSOR frames by BANDS with start and end in seconds; frames and segments (by frame and in seconds) in the schema's metadata."""
     count = -(-len(mel) // TENSOR)
     full = np.zeros((count, TENSOR, BANDS), "float32")
     full.reshape(-1, BANDS)[: len(mel)] = mel
@@ -138,13 +138,24 @@ def tensor_bytes(mel: np.ndarray, found: list[tuple[int, int]]) -> bytes:
     ends = np.minimum(starts + TENSOR, len(mel))
     spans = ",".join(f"{a * HOP / TARGET:.3f}-{b * HOP / TARGET:.3f}" for a, b in found)
     tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(full)
-    schema = pa.schema([("mel", tensors.type), ("start_s", pa.float64()), ("end_s", pa.float64())], {"segments": spans})
+    notes = {"frames": str(len(mel)), "segments": spans, "segment_frames": ",".join(f"{a}-{b}" for a, b in found)}
+    schema = pa.schema([("mel", tensors.type), ("start_s", pa.float64()), ("end_s", pa.float64())], notes)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, schema) as w:
         w.write_batch(pa.RecordBatch.from_arrays([tensors, pa.array(starts * HOP / TARGET), pa.array(ends * HOP / TARGET)], schema=schema))
     return sink.getvalue().to_pybytes()
 
 
+def feature_of(blob: bytes) -> str:
+    """From stored tensors: frames, segments by frame, and each band's mean level to two places."""
+    with pa.ipc.open_stream(blob) as reader:
+        batch, notes = reader.read_next_batch(), reader.schema.metadata
+    frames = int(notes[b"frames"])
+    mel = batch.column(0).to_numpy_ndarray().reshape(-1, BANDS)[:frames]
+    levels = " ".join(f"{x + 0.0:.2f}" for x in np.round(mel.mean(0, dtype="float64"), 2))
+    return f"{frames};{notes[b'segment_frames'].decode()};{levels}"
+
+
 def analysed(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Log-mel frames and segments of a WAV file; depends on its bytes alone."""
     payload, rate = read_back(media)
@@ -152,59 +163,74 @@ def analysed(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return mel, segments(mel.mean(1))
 
 
-def audio(docs: DataFrame, key: str = "doc_id", text: str = "text", tensors: bool = True) -> DataFrame:
-    """key, n_bytes, media (WAV bytes), feature (frames, segments, and each band's mean level to two places) and, if wanted,
-    `tensors` (Arrow stream of fixed-shape tensors with time spans): a row for each row.
+#: What `audio` can return, and the types.
+OUTPUTS = {
+    "n_bytes": (T.LongType(), pa.int64()),
+    "media": (T.BinaryType(), pa.binary()),
+    "tensors": (T.BinaryType(), pa.binary()),
+    "feature": (T.StringType(), pa.string()),
+    "payload_bytes": (T.LongType(), pa.int64()),
+    "payload_sha256": (T.StringType(), pa.string()),
+    "tail_crc32": (T.LongType(), pa.int64()),
+    "media_bytes": (T.LongType(), pa.int64()),
+    "media_sha256": (T.StringType(), pa.string()),
+    "tensor_bytes": (T.LongType(), pa.int64()),
+    "tensor_sha256": (T.StringType(), pa.string()),
+}
+#: Those that come from the stored samples alone.
+OF_SAMPLES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+
+
+def _digests(wav: bytes) -> dict:
+    payload, _ = read_back(wav)
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    return dict(zip(OF_SAMPLES, (len(payload), sha(payload), zlib.crc32(payload[-32:]), len(wav), sha(wav))))
 
+
+def audio(docs: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("n_bytes", "media", "feature", "tensors")) -> DataFrame:
+    """key and the named `columns` of OUTPUTS, a row for each row.
+
+    `media` is a WAV file of the text's bytes, `tensors` an Arrow stream of fixed-shape log-mel tensors with time spans that is
+    computed from the samples as read back, and `feature` comes from the tensors as read back. The digests are of these.
     A null or empty text is one unit of fill. Repeated rows and equal texts get equal values, an empty table gives an empty
     one, other columns are left out.
     """
-    small_batches(docs.sparkSession)
-    names = [(key, docs.schema[key].dataType), ("n_bytes", T.LongType()), ("media", T.BinaryType()), ("feature", T.StringType()), *[("tensors", T.BinaryType())] * tensors]
-    schema = T.StructType([T.StructField(*x) for x in names])
+    schema = T.StructType([docs.schema[key], *(T.StructField(c, OUTPUTS[c][0]) for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for at in range(0, b.num_rows, 32):
-                part = b.slice(at, 32)
-                sizes, media, features, blobs = [], [], [], []
-                for t in part.column(1):
-                    raw = (t.as_py() or "").encode()
-                    sizes.append(len(raw))
-                    wav = stored(raw + FILL * (-len(raw) % UNIT or (0 if raw else UNIT)))
-                    mel, found = analysed(wav)
-                    media.append(wav)
-                    levels = " ".join(f"{x + 0.0:.2f}" for x in np.round(mel.mean(0, dtype="float64"), 2))
-                    features.append(f"{len(mel)};{','.join(f'{a}-{e}' for a, e in found)};{levels}")
-                    if tensors:
-                        blobs.append(tensor_bytes(mel, found))
-                columns = [pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(features, pa.string()), *[pa.array(blobs, pa.binary())] * tensors]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
+        for rows in slices(batches, 32):
+            found: dict[str, list] = {c: [] for c in columns}
+            for t in rows.column(1):
+                raw = (t.as_py() or "").encode()
+                wav = stored(raw + FILL * (-len(raw) % UNIT or (0 if raw else UNIT)))
+                blob = tensor_bytes(*analysed(wav))
+                values = {"n_bytes": len(raw), "media": wav, "tensors": blob, "feature": feature_of(blob), "tensor_bytes": len(blob), "tensor_sha256": hashlib.sha256(blob).hexdigest(), **_digests(wav)}
+                for c, out in found.items():
+                    out.append(values[c])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(found[c], OUTPUTS[c][1]) for c in columns)], schema.names)
 
     return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def read_samples(media: DataFrame, keep: list[str]) -> DataFrame:
-    """Digests of the samples in the WAV bytes of column `media`, with the columns `keep`."""
-    small_batches(media.sparkSession)
-    more = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType())]
-    schema = T.StructType([*(media.schema[k] for k in keep), *(T.StructField(*x) for x in more)])
+def read_samples(media: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
+    """The columns `keep` and digests (OF_SAMPLES) of the samples in the WAV bytes of `column`, a row for each row.
+
+    Null bytes give null digests; bytes that are no WAV file of 8-bit samples raise. Repeated rows stay repeated, an empty table
+    gives an empty one, other columns are left out.
+    """
+    schema = T.StructType([*(media.schema[k] for k in keep), *(T.StructField(c, OUTPUTS[c][0]) for c in OF_SAMPLES)])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            rows = []
-            for m in b.column(len(keep)):
-                wav = m.as_py()
-                payload, _ = read_back(wav)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest()))
-            columns = [pa.array([r[i] for r in rows], pa.string() if "sha" in n else pa.int64()) for i, (n, _) in enumerate(more)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], schema.names)
+        for rows in slices(batches, 32):
+            found = [_digests(m.as_py()) if m.is_valid else dict.fromkeys(OF_SAMPLES) for m in rows.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *(pa.array([x[c] for x in found], OUTPUTS[c][1]) for c in OF_SAMPLES)], schema.names)
 
-    return media.select(*keep, "media").mapInArrow(run, schema)
+    return media.select(*keep, F.col(column).alias("__media")).mapInArrow(run, schema)
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_samples(audio(documents(spark, sf_dir), tensors=False), ["doc_id", "n_bytes", "feature"])
+    """Every document stored as samples and as tensors, both read back, as digests."""
+    return audio(documents(spark, sf_dir), columns=("n_bytes", *OF_SAMPLES, "feature", "tensor_bytes", "tensor_sha256"))
 
 
 QUERIES = {"op8_audio": op8_audio}

@@ -24,6 +24,12 @@ def test_query_equals_brute_force(spark, sf_dir):
         with wave.open(io.BytesIO(media)) as w:
             assert w.readframes(w.getnframes()) == payload and w.getsampwidth() == 1
         assert features.setdefault(raw, r.feature) == r.feature
+        mel, found = audio.analysed(media)
+        blob = audio.tensor_bytes(mel, found)
+        assert (r.tensor_bytes, r.tensor_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        table = pa.ipc.open_stream(blob).read_all()
+        assert np.array_equal(np.concatenate([x.to_numpy_ndarray().reshape(-1, audio.BANDS) for x in table["mel"].chunks])[: len(mel)], mel)
+        assert r.feature.split(";")[:2] == [str(len(mel)), ",".join(f"{a}-{b}" for a, b in found)]
 
 
 def test_resampling_equals_zero_stuffing():
@@ -70,3 +76,10 @@ def test_tensors_and_edges(spark):
     assert table.schema.field("mel").type.shape == [audio.TENSOR, audio.BANDS] and table.num_rows == -(-int(rows[3].feature.split(";")[0]) // 100)
     assert b"segments" in table.schema.metadata and table["end_s"][0].as_py() == 1.0
     assert audio.audio(df.filter("media > 1")).count() == 0
+
+
+def test_null_media_and_clashing_columns(spark):
+    wav = audio.stored(b"\xff" * 576)
+    df = spark.createDataFrame([(1, None, "x"), (2, bytearray(wav), "y"), (2, bytearray(wav), "y")], "doc_id long, media binary, payload_sha256 string")
+    got = sorted(audio.read_samples(df, ["doc_id"]).collect())
+    assert got[0].payload_bytes is None and [r.payload_bytes for r in got[1:]] == [576, 576]
