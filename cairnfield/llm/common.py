@@ -68,14 +68,6 @@ def slices(batches, records: int = ARROW_RECORDS, size: int = SLICE_BYTES, colum
             at, before = end, int(ends[end - 1])
 
 
-def small_batches(spark: SparkSession, records: int = 256) -> None:
-    """Bound the Arrow batches that Python workers get, unless the session has a lower bound already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > records:
-        spark.conf.set(key, str(records))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `documents` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

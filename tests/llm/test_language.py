@@ -53,3 +53,27 @@ def test_scripts_and_mixed_text(spark):
     empty = df.filter("doc_id > 99")
     assert language.learn(empty).languages == [] and language.identify(empty, language.learn(empty)).count() == 0
     assert {r.lang_pred for r in language.identify(df, language.learn(empty)).collect()} == {"und"}
+
+
+def test_seventy_languages_are_all_learned(spark):
+    """Each has two letters of its own; none is left out, though there are more than any small number type or list could hold."""
+    pairs = [(chr(0x4E00 + 2 * i), chr(0x4E00 + 2 * i + 1)) for i in range(150)]
+    text = lambda p, n=12: " ".join((p[0] + p[1]) * 3 for _ in range(n))
+    df = spark.createDataFrame([(3 * i + j, text(p), f"l{i:03d}") for i, p in enumerate(pairs) for j in range(3)], "doc_id long, text string, lang string")
+    df = df.filter(language.remainder("doc_id") != 2)
+    want = {r.lang for r in df.select("lang").distinct().collect()}
+    model = language.learn(df)
+    assert set(model.languages) == want and len(want) > 140 and model.bins == language.BINS // 2
+    got = language.identify(df, model).select("doc_id", "lang_pred").collect()
+    right = {r.doc_id: r.lang for r in df.collect()}
+    assert all(r.lang_pred == right[r.doc_id] for r in got)
+    assert [language.bins_for(n) for n in (1, 128, 129, 256, 257, 10**6)] == [1 << 14, 1 << 14, 1 << 13, 1 << 13, 1 << 12, 1 << 8]
+
+
+def test_another_script_goes(spark):
+    df = spark.createDataFrame([(i, "plain words of one language and more", "aa") for i in range(20)], "doc_id long, text string, lang string")
+    model = language.learn(df)
+    asked = spark.createDataFrame([(1, "only plain words here"), (2, "\u0431\u0443\u043a\u0432\u044b \u0434\u0440\u0443\u0433\u0438\u0435"), (3, None), (4, "")], "doc_id long, text string")
+    assert [r.doc_id for r in language.kept_documents(asked, model).collect()] == [1]
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(asked, model).collect()}
+    assert scores[2] == ("aa", 0.0) and scores[3] == ("und", 0.0)
