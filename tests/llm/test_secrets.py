@@ -76,3 +76,56 @@ def test_query_digest(spark, sf_dir):
     texts = {d["doc_id"]: d["text"] for d in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()}
     for r in secrets.op3_secrets(spark, sf_dir).collect():
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in brute(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_no_window_hides_a_candidate(spark):
+    """A digit far into a run, and a key in a path that mixes the signs of two alphabets."""
+    rng = random.Random(8)
+    letters = "".join(c for c in secrets.ALPHABETS["base64"] if c.isalpha())
+    late = "".join(rng.choice(letters) for _ in range(48)) + "7" + "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(8))
+    key = "".join(rng.choice(secrets.ALPHABETS["base36"]) for _ in range(40))
+    df = spark.createDataFrame([(1, late), (2, f"see com/my-app/{key} there")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secrets(df, ["doc_id"]).collect()}
+    assert got[1].endswith(f":0:{len(late)}") and f"random-base36:15:{15 + len(key)}" in got[2]
+
+
+def test_recall_of_random_keys_and_precision_on_names(spark):
+    rng = random.Random(12)
+    rows, n = [], 400
+    for name in ("hex", "base36", "base64"):
+        for length in (20, 32, 64):
+            for _ in range(n):
+                while True:
+                    key = "".join(rng.choice(secrets.ALPHABETS[name].replace("/", "").replace("+", "")) for _ in range(length))
+                    if any(c.isdigit() for c in key):
+                        break
+                rows.append((len(rows), f"it is {key} here", f"{name}{length}"))
+    plain = ["2024-01-02-meeting-notes-of-the-team", "src/main/java/org/example/Utils2", "aaaaaaaaaaaaaaaaaaaaaaaa1", "1234567890123456789012345", "x86_64-unknown-linux-gnu-2", "abcabcabcabcabcabcabcabc1"]
+    df = spark.createDataFrame(rows + [(len(rows) + i, t, "plain") for i, t in enumerate(plain)], "doc_id long, text string, kind string")
+    hits, all_ = {}, {}
+    for r in secrets.secrets(df, ["doc_id", "kind"]).collect():
+        all_[r.kind] = all_.get(r.kind, 0) + 1
+        hits[r.kind] = hits.get(r.kind, 0) + ("random" in r.spans)
+    found = sum(v for k, v in hits.items() if k != "plain") / sum(v for k, v in all_.items() if k != "plain")
+    assert found >= 0.88 and min(v / all_[k] for k, v in hits.items() if k != "plain") >= 0.85, hits
+    assert hits["plain"] <= 1, hits
+
+
+def test_many_matches_in_a_text(spark):
+    """Work follows the number of matches: two hundred thousand of them in a text, and overlapping ones over several blocks."""
+    text = "token=abcdef " * 200_000
+    few = "token=" + "0123456789abcdef" * 2
+    df = spark.createDataFrame([(1, text), (2, (few + " ") * 700)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secrets(df, ["doc_id"]).collect()}
+    assert got[1].n_assign == 200_000 and got[1].base.endswith("assign:2599987:2599999")
+    assert got[2].n_assign == got[2].n_hex == 700
+    new = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert new == {1: (secrets.MASK + " ") * 200_000, 2: (secrets.MASK + " ") * 700}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "t", "all", "k", 14), (None, None, "t", "all", "k", None)], "__t long, text string, __base string, __all string, row string, n_chars int")
+    got = secrets.redacted(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, secrets.MASK, "t", "all", "k", 8), (None, None, "t", "all", "k", None)], key=str)
+    assert secrets.secrets(df, ["__t", "row"]).columns[:2] == ["__t", "row"]
