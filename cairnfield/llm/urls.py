@@ -1,103 +1,147 @@
 """URL filters over a sorted array of digests (operator 7).
 
-The rules' keys (host and path) are hashed with 64-bit xxhash. A file holds the sorted digests, then the places and bytes
-of the full strings. Workers memory-map it. A batch of urls becomes candidate keys, longest first; one binary search probes
-them all, and a hit counts only if the stored string is the candidate.
+Rules (host and path prefix, allow or block) and a block list (whole hosts, or single urls) become keys. Spark sorts the keys
+by their 64-bit xxhash and writes them in stretches to the shared folder; workers memory-map a stretch when they need it. A
+batch of urls becomes candidate keys, one binary search probes them all, and a hit counts only if the stored string is the
+candidate. A host's candidates are its suffixes of lengths that rules have, so their number follows the rules, not the url.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import file_system, new_path, slices
 
 #: The rules in force (fixed values): verdict, host, path. A rule holds for its host and all subdomains.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: The verdict on a url that no rule fits.
+#: The block list (host, path), for urls that no rule fits: without a path a host and its subdomains, else that url alone.
+LISTED = [(f"{name}.example.{top}", None) for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: The verdict on a url that neither a rule nor the list has.
 DEFAULT = "allow"
-#: Candidate keys that are probed at a time.
-PROBES = 1 << 18
-_MAGIC = b"CFURLS1\0"
-_LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+#: Candidate keys that are probed at a time, and keys in a file.
+PROBES, KEYS = 1 << 18, 4 << 20
+#: Kinds of keys: of a rule, of a listed host, of a listed url.
+RULE, HOST, URL = "r", "h", "u"
+SEED = 42
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TABLE = str.maketrans(_UPPER, _LOWER)
+_ENTRY = "kind string, host string, path string, verdict string"
 
 
 def digest(key: bytes) -> int:
+    """A key's digest; the same that Spark's xxhash64 gives."""
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(key)
+    return xxh64_intdigest(key, SEED)
+
+
+@dataclass(frozen=True)
+class Store:
+    """Where the files are, the first digest of each (ascending), and the lengths of hosts and paths by kind of key."""
+
+    uri: str
+    firsts: tuple[int, ...]
+    lengths: tuple[tuple[str, int, int], ...]
+
+    def file(self, i: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        return _opened(f"{self.uri}/part-{i:06d}.arrow")
+
+    def find(self, keys: list[bytes]) -> list[str | None]:
+        """For each key its verdict, or None: binary search of the digests, then the full string decides."""
+        wanted = np.fromiter(map(digest, keys), "<u8", len(keys)).view("<i8")
+        out: list[str | None] = [None] * len(keys)
+        part = np.searchsorted(np.array(self.firsts, "i8"), wanted, "right") - 1
+        for p in np.unique(part[part >= 0]).tolist():
+            digests, strings, verdicts = self.file(p)
+            mine = np.nonzero(part == p)[0]
+            at = np.searchsorted(digests, wanted[mine])
+            hit = at < len(digests)
+            hit[hit] = digests[at[hit]] == wanted[mine[hit]]
+            for i, k in zip(mine[hit].tolist(), at[hit].tolist()):
+                while k < len(digests) and digests[k] == wanted[i]:
+                    if strings[k].as_py() == keys[i]:
+                        out[i] = verdicts[k].as_py()
+                        break
+                    k += 1
+        return out
+
+    def candidates(self, host: str, path: str) -> list[tuple[str, bytes]]:
+        """(kind, key) that can be stored for this host and path; rules' first, longest first, equally long ones with the longer host first."""
+        out, end = [], len(host)
+        for kind, h, p in self.lengths:
+            if kind == URL:
+                out.append((kind, f"{URL}{host}{path}".encode()))
+            elif (h == end or h < end and host[end - h - 1] == ".") and p <= len(path):
+                out.append((kind, f"{kind}{host[end - h :]}{path[:p]}".encode()))
+        return out
+
+
+@lru_cache(maxsize=64)
+def _opened(uri: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Digests, keys and verdicts of a file, memory-mapped if it is local."""
+    from pyarrow import fs
+
+    files, path = file_system(uri)
+    source = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
+    batch = pa.ipc.open_file(source).get_batch(0)
+    return batch.column(0).to_numpy(), batch.column(1), batch.column(2)
 
 
-def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """The file of a list of rules: counts, the lengths of their paths, sorted digests, verdicts, places and strings.
+def entries(spark: SparkSession, rules: DataFrame | Iterable[tuple[str, str, str]], listed: DataFrame | Iterable[tuple[str, str | None]]) -> DataFrame:
+    """(kind, host, path, verdict) of rules (verdict, host, path) and a block list (host, path or null), as tables or as tuples.
 
-    Of two rules for the same host and path the last holds. Two keys with the same digest stand side by side.
+    Rows with a null host, and rules with a null path or verdict, are left out; a verdict other than allow or block raises.
     """
-    by_key = {f"{host.translate(_LOWER)}{path}".encode(): verdict for verdict, host, path in rules}
-    if bad := {v for v in by_key.values()} - {"allow", "block"}:
-        raise ValueError(f"verdicts must be allow or block, not {sorted(bad)}")
-    keys = sorted(by_key, key=lambda k: (digest(k), k))
-    paths = sorted({len(p) for _, _, p in rules})
-    ends = np.cumsum([0, *map(len, keys)]).astype("<i8")
-    head = np.array([len(keys), len(paths)], "<i8").tobytes()
-    blocked = bytes(by_key[k] == "block" for k in keys)
-    return b"".join([_MAGIC, head, np.array(paths, "<i8").tobytes(), np.array([digest(k) for k in keys], "<u8").tobytes(), ends.tobytes(), blocked, *keys])
-
-
-class Digests:
-    """A rule file, memory-mapped."""
-
-    def __init__(self, path: str):
-        self.raw = np.memmap(path, "u1", "r")
-        if self.raw[:8].tobytes() != _MAGIC:
-            raise ValueError(f"{path} is no rule file")
-        n, p = self.raw[8:24].view("<i8").tolist()
-        at = 24 + 8 * p
-        self.paths = self.raw[24:at].view("<i8").tolist()[::-1]
-        self.digests, at = self.raw[at : at + 8 * n].view("<u8"), at + 8 * n
-        self.ends, at = self.raw[at : at + 8 * (n + 1)].view("<i8"), at + 8 * (n + 1)
-        self.blocked, self.strings = self.raw[at : at + n], self.raw[at + n :]
-
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        """For each key the number of its rule, or -1: binary search of the digest, then the full string decides."""
-        wanted = np.fromiter(map(digest, keys), "<u8", len(keys))
-        first = np.searchsorted(self.digests, wanted)
-        out = np.full(len(keys), -1, "int64")
-        some = np.nonzero(first < len(self.digests))[0]
-        for i in some[self.digests[first[some]] == wanted[some]].tolist():
-            k = int(first[i])
-            while k < len(self.digests) and self.digests[k] == wanted[i]:
-                if self.string(k) == keys[i]:
-                    out[i] = k
-                    break
-                k += 1
-        return out
+    rules = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    listed = listed if isinstance(listed, DataFrame) else spark.createDataFrame(list(listed), "host string, path string")
+    host = F.translate("host", _UPPER, _LOWER).alias("host")
+    known = F.when(F.col("verdict").isin("allow", "block"), F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("verdicts must be allow or block, not "), F.col("verdict"))))
+    r = rules.filter("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(F.lit(RULE).alias("kind"), host, "path", known.alias("verdict"))
+    kind = F.when(F.col("path").isNull(), HOST).otherwise(URL).alias("kind")
+    return r.unionByName(listed.filter("host IS NOT NULL").select(kind, host, F.coalesce("path", F.lit("")).alias("path"), F.lit("block").alias("verdict")))
 
-    def string(self, k: int) -> bytes:
-        return self.strings[self.ends[k] : self.ends[k + 1]].tobytes()
 
-    def candidates(self, host: str, path: str) -> list[bytes]:
-        """Keys that rules for this host and path can have, longest first; equally long ones with the longer host first."""
-        labels = host.split(".")
-        suffixes = [".".join(labels[i:]) for i in range(len(labels))]
-        lengths = [n for n in self.paths if n <= len(path)]
-        found = [(len(s) + n, len(s), s + path[:n]) for s in suffixes for n in lengths]
-        return [k.encode() for _, _, k in sorted(found, key=lambda x: (-x[0], -x[1]))]
+def build(table: DataFrame) -> Store:
+    """Writes the store of a table of entries to the shared folder. Of equal keys one is stored, allowing before blocking.
 
+    Keys are sorted in stretches of digests, a file each; only the files' first digests, and the pairs of lengths of hosts and
+    paths (of rules and hosts, which urls bound), come to the driver.
+    """
+    spark = table.sparkSession
+    uri = new_path(spark, "urls")
+    keys = table.groupBy(F.concat("kind", "host", "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.count(F.lit(1)).alias("n"))
+    pair = F.when(F.col("kind") == URL, F.struct(F.lit(0).alias("h"), F.lit(0).alias("p"))).otherwise(F.struct(F.length("host").alias("h"), F.length("path").alias("p")))
+    lengths = table.select("kind", pair.alias("l")).groupBy("kind", "l.h", "l.p").agg(F.count(F.lit(1)).alias("n")).collect()
+    parts = max(1, sum(r["n"] for r in lengths) // KEYS + 1)
+    order = ["digest", "key"]
+    sorted_ = keys.select(F.xxhash64("key").alias("digest"), F.col("key").cast("binary").alias("key"), "verdict").repartitionByRange(parts, "digest").sortWithinPartitions(*order)
+    schema = pa.schema([("digest", pa.int64()), ("key", pa.large_binary()), ("verdict", pa.string())])
 
-@lru_cache(maxsize=4)
-def _opened(path: str) -> Digests:
-    return Digests(path)
+    def run(batches: Iterator[pa.RecordBatch]):
+        found = pa.Table.from_batches(list(batches)).cast(schema) if (batches := list(batches)) else None
+        if found is not None and found.num_rows:
+            files, root = file_system(uri)
+            files.create_dir(root, recursive=True)
+            number = TaskContext.get().partitionId()
+            hidden = f"{root}/.{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(hidden) as sink, pa.ipc.new_file(sink, schema) as w:
+                w.write_batch(found.combine_chunks().to_batches()[0])
+            files.move(hidden, f"{root}/part-{number:06d}.arrow")
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([found["digest"][0].as_py()], pa.int64())], ["number", "first"])
+
+    firsts = sorted(tuple(r) for r in sorted_.mapInArrow(run, "number long, first long").collect())
+    kinds = [RULE, HOST, URL]
+    found = sorted(((r["kind"], r["h"], r["p"]) for r in lengths), key=lambda x: (kinds.index(x[0]), -(x[1] + x[2]), -x[1]))
+    return Store(uri, tuple(f for _, f in firsts), tuple(found))
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -106,53 +150,41 @@ def parts(url: str | None) -> tuple[str, str]:
         return "", ""
     rest = url.split("://", 1)[1].split("?", 1)[0].split("#", 1)[0]
     host, slash, path = rest.partition("/")
-    return host.translate(_LOWER), slash + path
-
-
-def distributed(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Give the rule file to every executor, and return its name there. It is as large as the rules, not as the urls."""
-    raw = build(list(rules))
-    name = f"rules-{hashlib.sha256(raw).hexdigest()[:24]}.bin"
-    folder = os.path.join(tempfile.gettempdir(), f"cairnfield-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.realpath(os.path.join(folder, name))
-    if not os.path.exists(path):
-        with open(f"{path}.new", "wb") as f:
-            f.write(raw)
-        os.replace(f"{path}.new", path)
-    spark.sparkContext.addFile(path)
-    return name
+    return host.translate(_TABLE), slash + path
 
 
-def judged(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
-    """key, host, path, rule (host and path of the longest that fits, else null) and verdict, a row for each row.
+def judged(pages: DataFrame, rules=RULES, listed=LISTED, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
+    """key, host, path, rule (host and path of the longest that fits, else null), verdict and listed, a row for each row.
 
-    A null url, or one without `://`, has an empty host and path. Repeated rows get the same, an empty table gives an empty
-    one, other columns are left out. Nothing is shuffled.
+    The verdict is the rule's; without a rule, block if the list has the host or the url, else `default`. `rules` and `listed` are
+    tables or tuples, as in `entries`. A null url, or one without `://`, has an empty host and path, which no list has. Repeated
+    rows get the same, an empty table gives an empty one, other columns are left out. The urls are not shuffled.
     """
-    rules = list(rules)
-    name = distributed(pages.sparkSession, rules)
-    small_batches(pages.sparkSession, 4096)
-    schema = T.StructType([pages.schema[key], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
+    store = build(entries(pages.sparkSession, rules, listed))
+    schema = T.StructType([pages.schema[key], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")), T.StructField("listed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        store = _opened(SparkFiles.get(name))
-        for b in batches:
+        for b in slices(batches):
             both = [parts(u.as_py()) for u in b.column(1)]
-            rule, verdict = [None] * len(both), [default] * len(both)
-            at, keys, of = 0, [], []
+            rule, verdict, on = [None] * len(both), [default] * len(both), [False] * len(both)
+            keys, of = [], []
             for i, (host, path) in enumerate(both):
-                found = store.candidates(host, path)
+                found = store.candidates(host, path) if host or path else []
                 keys += found
                 of += [i] * len(found)
                 if len(keys) >= PROBES or i + 1 == len(both):
-                    hits = store.find(keys)
-                    for j in np.nonzero(hits >= 0)[0].tolist():
-                        if of[j] >= at and rule[of[j]] is None:
-                            rule[of[j]] = keys[j].decode()
-                            verdict[of[j]] = "block" if store.blocked[hits[j]] else "allow"
-                    at, keys, of = i + 1, [], []
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in both], pa.string()) for k in (0, 1)), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], schema.names)
+                    for (kind, k), j, hit in zip(keys, of, store.find([k for _, k in keys])):
+                        if hit is None:
+                            continue
+                        if kind == RULE and rule[j] is None:
+                            rule[j], verdict[j] = k.decode()[1:], hit
+                        elif kind != RULE:
+                            on[j] = True
+                            if rule[j] is None:
+                                verdict[j] = hit
+                    keys, of = [], []
+            texts = [*([x[k] for x in both] for k in (0, 1)), rule, verdict]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in texts), pa.array(on, pa.bool_())], schema.names)
 
     return pages.select(key, F.col(url).alias("__url")).mapInArrow(run, schema)
 
@@ -164,13 +196,14 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULE = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 ) + " END"
-#: Each url against all rules, longest first.
+_LISTED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h, _ in LISTED)
+#: Each url against all rules, longest first, and against the list.
 ORACLE_SQL = {
     "op7_urls": f"""
 WITH a AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
-c AS (SELECT *, {_RULE} AS rule FROM b)
-SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in RULES)} ELSE '{DEFAULT}' END AS verdict FROM c"""
+c AS (SELECT *, {_RULE} AS rule, {_LISTED} AS listed FROM b)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in RULES)} WHEN listed THEN 'block' ELSE '{DEFAULT}' END AS verdict, listed FROM c"""
 }
 QUERIES = {"op7_urls": op7_urls}
