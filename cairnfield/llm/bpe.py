@@ -134,7 +134,7 @@ class ByteBPE:
             word = lambda w: [t.id for t in tokenize(w.replace(" ", space) if plain(w) else "".join([letters[b] for b in w.encode()]))]
         code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces = Pieces(regex.compile(WORDS).findall, lambda w: array(code, word(w)).tobytes(), limit)
-        self.odd = re.compile(r"\s\s|[\x00\x1c-\x1f]").search
+        self._odd = re.compile(r"\s\s|[\x00\x1c-\x1f]").search
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def packed(self, text: str) -> bytes:
@@ -152,6 +152,13 @@ class ByteBPE:
             stretches = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return b"".join(map(self.pieces.__getitem__, stretches))
 
+    def odd(self, text: str) -> bool:
+        """Whether white space meets white space, or a control character is there. Where all but the lines' ends is printable,
+        space is the only other white space, which spares the search."""
+        if text.replace("\n", "").isprintable():
+            return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        return self._odd(text) is not None
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.dtype)
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoded_batches
-from .common import documents, file_system, new_path
+from .bpe import encoded_batches, encoder
+from .common import documents, file_system, new_path, staged
 
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, BATCH = 1024, 128
@@ -80,56 +80,77 @@ class IdFile:
 
         files, path = file_system(uri)
         self.file = pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
-        self.reader, self.step, self.kept = pa.ipc.open_file(self.file), length * BATCH, (-1, None)
+        self.reader, self.step, self.length, self.kept = pa.ipc.open_file(self.file), length * BATCH, length, (-1, None, 0)
 
     def _batch(self, k: int) -> np.ndarray:
+        """A batch's ids, of which the mask says how many are of documents."""
         if self.kept[0] != k:
-            self.kept = (k, self.reader.get_batch(k).column(0).values.to_numpy())
-        return self.kept[1]
+            batch = self.reader.get_batch(k)
+            mask = batch.column(1).values
+            self.kept = (k, batch.column(0).values.to_numpy(), mask.true_count)
+        return self.kept[1][: self.kept[2]]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids from `start` to `stop`, counted from the file's first."""
+        """Ids from `start` to `stop`, counted from the file's first; beyond the last document's there are none."""
         parts = [self._batch(k)[max(start - k * self.step, 0) : stop - k * self.step] for k in range(start // self.step, -(-stop // self.step))]
         return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, "u2"), *parts])
 
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th sequence and its mask, views of the file where it is mapped."""
+        batch = self.reader.get_batch(i // BATCH)
+        at = i % BATCH * self.length
+        ids, mask = (batch.column(c).values.slice(at, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+
 
 def write_ids(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text", vocab: str | None = None, end: int = 0, length: int = LENGTH) -> list[Part]:
     """Write the ids of all texts, with `end` after each document, into files in the folder `uri`; the files, in order.
 
     Ascending by `key`, nulls first; rows of one key in the order of their text's hash. A null or empty text is the end id
-    alone. An empty table writes no file. Only (file, documents, ids) of each file comes to the driver.
+    alone. An empty table writes no file, repeated rows are written as often as they come, and other columns have no part.
+    Texts become ids before they are sorted, so that ids, and no texts, are shuffled. Only (file, documents, ids) of each file
+    comes to the driver.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(key, F.col(text).alias("__text"))
-    rows = rows.repartitionByRange(parts, F.col(key), F.xxhash64("__text")).sortWithinPartitions(F.col(key), F.xxhash64("__text"))
+    packed_schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("hash", T.LongType()), T.StructField("ids", T.BinaryType())])
+    dtype = encoder(vocab, False).dtype
+
+    def coded(batches):
+        for rows, packed, _ in encoded_batches(batches, vocab, False, end):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(packed, pa.binary())], packed_schema.names)
+
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("__text")).mapInArrow(coded, packed_schema)
+    rows = staged(rows, "packed").repartitionByRange(parts, "key", "hash").sortWithinPartitions("key", "hash")
 
     def run(batches):
+        from pyarrow.fs import FileType
+
         number, files, root = TaskContext.get().partitionId(), *file_system(uri)
         files.create_dir(root, recursive=True)
         names = [f"{root}/part-{number:06d}.{kind}.arrow" for kind in ("ids", "index")]
         hidden = [f"{root}/.{uuid.uuid4().hex}.{kind}" for kind in ("ids", "index")]
         writers, docs, tokens = None, 0, 0
-        for slice_, packed, dtype in encoded_batches(batches, vocab, False, end):
+        for batch in batches:
             if writers is None:
-                index = pa.schema([pa.field(key, slice_.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+                index = pa.schema([pa.field(key, batch.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 sinks = [files.open_output_stream(h) for h in hidden]
                 writers = [pa.ipc.new_file(s, x) for s, x in zip(sinks, (ids_schema(dtype, length), index))]
                 out = _Sequences(writers[0], dtype, length)
-            counts = np.array([len(p) // dtype.itemsize for p in packed], "int64")
+            counts = []
+            for p in batch.column(2):
+                out.add(raw := p.as_py())
+                counts.append(len(raw) // dtype.itemsize)
+            counts = np.array(counts, "int64")
             starts = tokens + np.cumsum(counts) - counts
-            writers[1].write_batch(pa.RecordBatch.from_arrays([slice_.column(0), pa.array(starts), pa.array(counts)], schema=index))
-            for p in packed:
-                out.add(p)
-            docs, tokens = docs + len(packed), tokens + int(counts.sum())
+            writers[1].write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), pa.array(counts)], schema=index))
+            docs, tokens = docs + len(counts), tokens + int(counts.sum())
         if writers is None:
             return
         out.flush(True)
         for w, s, h, name in zip(writers, sinks, hidden, names):
             w.close()
             s.close()
-            from pyarrow.fs import FileType
-
             if files.get_file_info(name).type != FileType.NotFound:
                 files.delete_file(name)
             files.move(h, name)
@@ -141,7 +162,10 @@ def write_ids(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
 
 
 def read_ids(spark: SparkSession, uri: str, parts: list[Part], key_type: T.DataType, key: str = "doc_id", length: int = LENGTH, ids: bool = True) -> DataFrame:
-    """Documents from the files: key, `start` among all ids, `n_tokens`, `ids_crc32` (as unsigned 32-bit integers) and, if wanted, `ids`."""
+    """Documents from the files: key, `start` among all ids, `n_tokens`, `ids_crc32` (as unsigned 32-bit integers) and, if wanted, `ids`.
+
+    Rows come as they were written: nulls and repeats included, none from no files.
+    """
     todo = spark.createDataFrame([(p.number, p.base) for p in parts], "number long, base long").repartition(max(1, len(parts)))
     fields = [T.StructField(key, key_type), *(T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32"))]
     schema = T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids])

@@ -84,3 +84,15 @@ def test_file_access_and_edges(spark, tmp_path):
     assert last.reader.schema.field("ids").type.list_size == 1024
     assert idfiles.write_ids(df.filter("doc_id > 9"), f"{uri}2") == []
     assert idfiles.read_ids(spark, uri, [], df.schema["doc_id"].dataType).count() == 0
+
+
+def test_masks_tell_ids_from_filling(spark, tmp_path):
+    df = spark.createDataFrame([(i, "word " * i) for i in range(300)], "doc_id long, text string")
+    parts = idfiles.write_ids(df, f"file://{tmp_path}/m")
+    for p in parts:
+        file = idfiles.IdFile(f"file://{tmp_path}/m/part-{p.number:06d}.ids.arrow")
+        sequences = [file.sequence(i) for i in range(-(-p.tokens // 1024))]
+        masks = np.concatenate([m for _, m in sequences])
+        assert masks.sum() == p.tokens and masks[: p.tokens].all()
+        assert np.array_equal(np.concatenate([s for s, _ in sequences])[: p.tokens], file.ids(0, p.tokens))
+        assert len(file.ids(p.tokens, p.tokens + 5)) == 0
