@@ -15,6 +15,9 @@ ROWS_PER_BUCKET = 200_000
 #: Records, and bytes of their texts, that a worker goes over at a time.
 ARROW_RECORDS, SLICE_BYTES = 4096, 4 << 20
 
+#: Keys that are joined by broadcast at most; a key is hot with more than one part in so many of the rows.
+HOT = 10_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or on a local master without it one of our own."""
@@ -78,6 +81,17 @@ def buckets_for(rows: int) -> int:
     return max(16, min(1 << 16, rows // ROWS_PER_BUCKET + 1))
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+    """Inner join by a key that is unique in `right`, whose column `weight` tells how many of at most `rows` rows of `left` have it.
+
+    Keys with over a HOT-th of the rows, of which there are fewer than HOT, are broadcast; so no task gets more than that of one key.
+    Null keys are in no result.
+    """
+    limit = rows // HOT
+    hot, cold = F.broadcast(right.filter(F.col(weight) > limit)), right.filter(F.col(weight) <= limit)
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def salted_rank(df: DataFrame, by: list[str], order: list[str], salt: Column, out: str, total: str | None = None) -> DataFrame:
     """Adds `out`: the row's rank from 0 within `by`; rows of one key are dealt to the buckets of `salt`, so no task holds a hot key.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, staged
+from .common import documents, joined, slices, staged
 
 #: Words in a shingle, seed of its hash, and differing bits of linked fingerprints.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -46,7 +46,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Key columns and `fp`, the fingerprint's bits as a long, a row for each row."""
+    """Key columns and `fp`, the fingerprint's bits as a long, a row for each row; a text without words, or null, has 0."""
     schema = T.StructType([*(docs.schema[k] for k in key), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -110,10 +110,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     sizes = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
     tiles = placed.join(sizes, "place").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks"))).groupBy("place", "chunk").agg(F.collect_list("fp").alias("fps"))
     tiles = staged(tiles, "tiles")
+    # A row for each place, of which there are fewer than (width + 1) ** SUBWORDS. Both sides go by place and chunk, so that the
+    # pairs of tiles of the commonest place are dealt to as many tasks as it has tiles.
+    to = F.broadcast(sizes.select("place", F.col("chunks").cast("int").alias("chunks")))
     offsets = F.array(*(F.array(*map(F.lit, d)) for d in steps(radius)))
-    near = tiles.select("fps", "place", F.explode(offsets).alias("step"))
-    near = near.select(F.col("fps").alias("left"), F.zip_with("place", "step", lambda p, s: p + s).alias("place"))
-    near = near.filter((F.array_min("place") >= 0) & (F.array_max("place") <= width))
+    near = tiles.select("fps", "chunk", F.col("place").alias("own"), F.explode(offsets).alias("step"))
+    near = near.select(F.col("fps").alias("left"), F.col("chunk").alias("from"), F.zip_with("own", "step", lambda p, s: p + s).alias("place"), (F.col("own") == F.zip_with("own", "step", lambda p, s: p + s)).alias("same"))
+    near = near.filter((F.array_min("place") >= 0) & (F.array_max("place") <= width)).join(to, "place")
+    near = near.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1L)"))).filter("NOT same OR chunk >= from").select("left", "place", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -127,23 +131,30 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(u.view("i8")), pa.array(v.view("i8"))], ["u", "v"])
 
     # Sizes of written tables don't tell how often a tile is repeated, so a broadcast must not be chosen by them.
-    pairs = near.hint("merge").join(tiles.select("place", F.col("fps").alias("right")).hint("merge"), "place").select("left", "right")
+    pairs = near.hint("merge").join(tiles.select("place", "chunk", F.col("fps").alias("right")).hint("merge"), ["place", "chunk"]).select("left", "right")
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
+def _jumped(to: DataFrame) -> DataFrame:
+    """(node, root) with `root` followed to its end: each step, a join, doubles what is jumped, so a chain takes its logarithm."""
+    while True:
+        up = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = staged(to.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("next"), "root"), "roots")
+        to = new.select("node", F.col("next").alias("root"))
+        if new.filter("next <> root").isEmpty():
+            return to
+
+
 def components(edges: DataFrame) -> DataFrame | None:
-    """(node, root) of every node with an edge, or None without edges: each round joins nodes to their least neighbour and
-    contracts the edges, so that rounds follow the logarithm of the longest path. Tables of a round are written."""
+    """(node, root) of every node with an edge, or None without edges: each round joins nodes to their least neighbour, follows
+    these to their ends and contracts the edges. Of neighbours one at least is no end, so a round halves the nodes, and both
+    rounds and steps of a round follow the logarithm of the number of nodes. Tables of a round are written."""
     edges = staged(edges, "edges")
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root"))
-        for _ in range(2):
-            to = staged(to, "roots")
-            up = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            to = to.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        to = staged(to, "roots")
+        to = _jumped(staged(to, "roots"))
         if roots is None:
             roots = to
         else:
@@ -171,26 +182,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     gives an empty one, other columns are left out.
     """
     table = staged(fingerprints(docs, [key], text), "fingerprints")
-    least = table.groupBy("fp").agg(F.min(key).alias("least"))
-    rooted = staged(grouped(staged(least, "least"), radius), "rooted")
+    least = staged(table.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("weight")), "least")
+    rooted = staged(grouped(least, radius), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return table.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """`docs` with one document of each component: the least by (key, hash of its text), nulls last; of repeated rows one."""
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h")
-    table = staged(fingerprints(docs.select(F.col(key).alias("__k"), own, F.col(text).alias("__text")), ["__k", "__h"], "__text"), "fingerprints")
-    first = F.min(F.struct(F.col("__k").isNull().alias("none"), "__k", "__h")).alias("first")
-    rooted = grouped(staged(table.groupBy("fp").agg(first), "least"), radius)
-    kept = staged(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__k", "first.__h"), "kept")
-    named = docs.withColumn("__h", own)
-    same = named[key].eqNullSafe(kept["__k"]) & (named["__h"] == kept["__h"])
-    out = named.join(kept, same, "left_semi")
-    if not table.groupBy("__k", "__h").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([key, "__h"])
-    return out.select(*docs.columns)
+    named = staged(rooted.join(ids, "root").select("fp", "weight", "component_id"), "named")
+    return joined(table, named, "fp", "weight", table.count()).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

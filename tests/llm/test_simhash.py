@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 import xxhash
+from pyspark.sql import functions as F
 
 from cairnfield.llm import simhash
 
@@ -74,8 +75,36 @@ def test_edges(spark):
     assert len(got) == 8
     assert {c for d, f, c in got if f == "0" * 16} == {2}
     assert [c for d, f, c in got if f == f"{brute_fingerprint('null key'):016x}"] == [None]
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns
-    rows = kept.collect()
-    assert len(rows) == 4 and {r.doc_id for r in rows} == {2, 9, None, 1}
-    assert simhash.near_duplicates(df.filter("fp > 8")).count() == 0 and simhash.one_of_each(df.filter("fp > 8")).count() == 0
+    assert simhash.near_duplicates(df.filter("fp > 8")).count() == 0
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Ascending, the worst order; 1600 links in at most 12 rounds, and 12 steps in a round."""
+    calls, real = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, label: (calls.append(label), real(df, label))[1])
+    chain = spark.range(1600).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    rows = simhash.components(chain).collect()
+    assert {r.node: r.root for r in rows} == dict.fromkeys(range(1601), 0)
+    assert calls.count("edges") - 1 <= 12 and calls.count("roots") <= 24
+    pairs = spark.createDataFrame([(5, 9), (9, 7), (2, 3), (8, 1), (1, 4), (4, 9)], "u long, v long")
+    assert {r.node: r.root for r in simhash.components(pairs).collect()} == {5: 1, 9: 1, 7: 1, 2: 2, 3: 2, 8: 1, 1: 1, 4: 1}
+
+
+def test_a_hot_fingerprint_and_a_hot_place(spark, monkeypatch):
+    """Many rows of one text, and more fingerprints of one place than a tile holds."""
+    monkeypatch.setattr(simhash, "TILE", 8)
+    rng = random.Random(2)
+    fps = set()
+    while len(fps) < 300:  # four bits in each sub-word
+        fps.add(sum(sum(1 << b for b in rng.sample(range(8), 4)) << 16 * i for i in range(4)))
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    got = {}
+    for r in simhash.grouped(spark.createDataFrame([(f,) for f in fps], "fp long")).collect():
+        got.setdefault(r.root, set()).add(r.fp)
+    want = {}
+    for f, c in zip(fps, brute_components([f & (1 << 64) - 1 for f in fps])):
+        want.setdefault(c, set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    df = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(900)], "doc_id long, text string")
+    rows = simhash.near_duplicates(df).collect()
+    assert len(rows) == 900 and {r.component_id for r in rows if r.doc_id % 3} == {1}
