@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -62,14 +63,46 @@ def test_near_copies_beyond_the_digest_radius_go(spark, sf_dir):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == brute_kept(texts)
 
 
-def test_made_copies(spark, monkeypatch):
+def test_made_copies(spark):
     texts = made_texts()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = sorted(r.doc_id for r in nearcopies.one_of_each(df).collect())
     assert rows == sorted(brute_kept(texts)) and len(rows) < len(texts) - 100
-    # The sample and what counts as common change the order alone, never the result.
-    monkeypatch.setattr(nearcopies, "COMMON", 2)
-    assert sorted(r.doc_id for r in nearcopies.one_of_each(df).collect()) == rows
+
+
+def test_a_group_of_many_blocks(spark, monkeypatch):
+    """More copies than a block holds: those of a clump that joins at once, and a band whose ends are far apart."""
+    monkeypatch.setattr(nearcopies, "MEMBERS", 8)
+    monkeypatch.setattr(nearcopies, "TILE", 32)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    base, band = rng.choices(words, k=100), rng.choices(words, k=400)
+    texts = [" ".join([*base[:k], f"x{i}", *base[k:]]) for i, k in enumerate(rng.choices(range(100), k=60))]
+    texts += [" ".join(band[i * 4 : i * 4 + 100]) for i in range(70)]  # each is linked to the next few alone
+    texts += [" ".join(rng.choices(words, k=60)) for _ in range(40)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.one_of_each(df).collect()) == sorted(brute_kept(dict(enumerate(texts))))
+
+
+def test_fingerprints_carry_the_radius():
+    """Sets at the least similarity, of all kinds of sizes, are within the radius; unrelated ones are not."""
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype="u8")
+    lost = 0
+    for n in (16, 40, 200, 3000):
+        for _ in range(150):
+            both, one, two = draw(8 * n // 10), draw(n // 10), draw(2 * n // 10 - n // 10)
+            a, b = (nearcopies.fingerprint(np.unique(np.concatenate(x))) for x in ((both, one), (both, two)))
+            lost += np.bitwise_count(a ^ b).sum() > nearcopies.RADIUS or np.bitwise_count(a[0] ^ b[0]) > nearcopies.FIRST
+            assert np.bitwise_count(a ^ nearcopies.fingerprint(draw(n))).sum() > nearcopies.RADIUS
+    assert lost <= 1
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 6, "r"), (2, "a b c", 7, 8, "s")], "doc_id long, text string, k int, __h int, row string")
+    got = nearcopies.one_of_each(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "a b c", 5, 6, "r")]
 
 
 def test_repeated_rows_and_null_keys(spark):
