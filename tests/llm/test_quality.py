@@ -1,9 +1,12 @@
+import random
 import re
 from collections import Counter
 
+import duckdb
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cairnfield.llm import quality
 
@@ -52,3 +55,29 @@ def test_good_stays_bad_goes_and_columns(spark):
     assert [tuple(r) for r in quality.kept_documents(df).collect()] == [(1, good, 2)]
     assert quality.kept_documents(df).columns == df.columns
     assert quality.quality(df.filter("doc_id > 7"), ["doc_id"]).count() == 0
+
+
+def test_colliding_hashes_change_nothing(spark, monkeypatch):
+    """With three bits of hash, different windows meet and stand between equal ones."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(3, 300))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(quality, "HASH_BITS", 7 << 40)
+    for r in quality.quality(df, ["doc_id"]).collect():
+        assert tuple(r[c] for c in COLUMNS) == brute(texts[r.doc_id])
+
+
+def test_sql_says_the_same(spark, sf_dir):
+    texts = CASES + [d["text"] for d in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toArrow()  # noqa: F841
+    want = duckdb.sql(quality.ORACLE_SQL["op4_quality"]).df().set_index("doc_id")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.quality(df, ["doc_id"]).withColumn("failed", F.array_join("failed", ",")).toPandas().set_index("doc_id")
+    assert list(want.columns) == list(got.columns) and want.sort_index().equals(got.sort_index().astype(want.dtypes.to_dict()))
+
+
+def test_clashing_names(spark):
+    good = " ".join(f"word{i} of day{i} the" for i in range(20))
+    df = spark.createDataFrame([(1, good, "w", "m", "r", "x")], "__t long, text string, __w string, __m string, row string, text2 string")
+    assert [tuple(r) for r in quality.kept_documents(df).collect()] == [tuple(df.first())] and quality.kept_documents(df).columns == df.columns
+    assert quality.quality(df, ["__t", "row"]).columns[:2] == ["__t", "row"]
