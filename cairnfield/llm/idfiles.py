@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoded_batches, encoder
-from .common import documents, file_system, new_path, staged
+from .bpe import encoded_batches
+from .common import documents, file_system, new_path
 
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, BATCH = 1024, 128
@@ -108,20 +108,13 @@ def write_ids(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
 
     Ascending by `key`, nulls first; rows of one key in the order of their text's hash. A null or empty text is the end id
     alone. An empty table writes no file, repeated rows are written as often as they come, and other columns have no part.
-    Texts become ids before they are sorted, so that ids, and no texts, are shuffled. Only (file, documents, ids) of each file
-    comes to the driver.
+    Only (file, documents, ids) of each file comes to the driver. Texts are sorted and then encoded: ids of two bytes are as large
+    as the text where words are rare, and would have to be written before the ranges of keys are known.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed_schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("hash", T.LongType()), T.StructField("ids", T.BinaryType())])
-    dtype = encoder(vocab, False).dtype
-
-    def coded(batches):
-        for rows, packed, _ in encoded_batches(batches, vocab, False, end):
-            yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(packed, pa.binary())], packed_schema.names)
-
-    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("__text")).mapInArrow(coded, packed_schema)
-    rows = staged(rows, "packed").repartitionByRange(parts, "key", "hash").sortWithinPartitions("key", "hash")
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("__text"))
+    rows = rows.repartitionByRange(parts, "key", "hash").sortWithinPartitions("key", "hash").select("key", "__text")
 
     def run(batches):
         from pyarrow.fs import FileType
@@ -131,20 +124,18 @@ def write_ids(df: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
         names = [f"{root}/part-{number:06d}.{kind}.arrow" for kind in ("ids", "index")]
         hidden = [f"{root}/.{uuid.uuid4().hex}.{kind}" for kind in ("ids", "index")]
         writers, docs, tokens = None, 0, 0
-        for batch in batches:
+        for slice_, packed, dtype in encoded_batches(batches, vocab, False, end):
             if writers is None:
-                index = pa.schema([pa.field(key, batch.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+                index = pa.schema([pa.field(key, slice_.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 sinks = [files.open_output_stream(h) for h in hidden]
                 writers = [pa.ipc.new_file(s, x) for s, x in zip(sinks, (ids_schema(dtype, length), index))]
                 out = _Sequences(writers[0], dtype, length)
-            counts = []
-            for p in batch.column(2):
-                out.add(raw := p.as_py())
-                counts.append(len(raw) // dtype.itemsize)
-            counts = np.array(counts, "int64")
+            counts = np.array([len(p) // dtype.itemsize for p in packed], "int64")
             starts = tokens + np.cumsum(counts) - counts
-            writers[1].write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), pa.array(counts)], schema=index))
-            docs, tokens = docs + len(counts), tokens + int(counts.sum())
+            writers[1].write_batch(pa.RecordBatch.from_arrays([slice_.column(0), pa.array(starts), pa.array(counts)], schema=index))
+            for p in packed:
+                out.add(p)
+            docs, tokens = docs + len(packed), tokens + int(counts.sum())
         if writers is None:
             return
         out.flush(True)
