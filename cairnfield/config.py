@@ -37,24 +37,29 @@ class GridConfig:
 @dataclass(frozen=True)
 class KalmanConfig:
     resolution: float = 0.10
-    sensor_var: float = 4e-4
-    range_coeff: float = 1e-4
+    sensor_var: float = 9e-4
+    range_coeff: float = 4e-4
     process_var: float = 1e-4
     max_variance: float = 0.05
     unknown_cost: float = 50.0
     min_obstacle_cells: int = 3
+    smooth_passes: int = 1
+    inflate_obstacles: bool = True
 
 
 @dataclass(frozen=True)
 class NavConfig:
     map_size: float = 8.0
     resolution: float = 0.10
+    z_clip: tuple[float, float] = (-1.0, 1.5)
     goal_tol: float = 0.25
     lookahead: float = 0.6
-    max_speed: float = 0.4
-    max_yaw_rate: float = 0.8
-    yaw_gain: float = 1.2
-    turn_threshold: float = 0.8
+    max_speed: float = 0.5
+    max_yaw_rate: float = 1.2
+    yaw_gain: float = 2.0
+    turn_threshold: float = 1.0
+    unknown_is_lethal: bool = True
+    unknown_cost: float = 20.0
     scan_timeout: float = 1.0
     buffer_s: float = 2.0
     min_range: float = 0.45
@@ -64,11 +69,11 @@ class NavConfig:
 @dataclass(frozen=True)
 class ApfConfig:
     k_att: float = 1.0
-    k_rep: float = 0.5
+    k_rep: float = 0.6
     rho0: float = 0.8
     conic: float = 2.0
     cap: float = 50.0
-    max_speed: float = 0.8
+    max_speed: float = 0.6
     dt: float = 0.1
-    goal_tol: float = 0.2
+    goal_tol: float = 0.15
     lookahead: float = 0.7

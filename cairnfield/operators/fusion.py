@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FREE, LETHAL, UNKNOWN, KalmanConfig, RobotLimits
-from .grid import KEY, dilated, gradients, without_specks
+from .grid import KEY, dilated, gradients, smoothed, without_specks
 
 #: Weights of a map cell: of one observation, of what was known, and in all.
 NEW_CAP, OLD_CAP, TOTAL_CAP = 20, 80, 100
@@ -40,14 +42,13 @@ def fused_with_process(measures: DataFrame, process_var: float, last_scan: int)
     return folded.select(*KEY, F.col("f.h").alias("height"), (F.col("f.p") + process_var * (F.lit(last_scan) - F.col("f.k"))).alias("variance"))
 
 
-def fused_grid(cells: DataFrame, robot: RobotLimits, cfg: KalmanConfig, inflate: bool = False) -> DataFrame:
-    """Classes and costs of fused heights: lethal by slope and step, unknown where the variance is too large."""
-    d = gradients(cells.withColumnRenamed("height", "elevation"), cfg.resolution)
+def fused_grid(cells: DataFrame, robot: RobotLimits, cfg: KalmanConfig) -> DataFrame:
+    """Classes and costs of fused heights: lethal by slope and step of the smoothed heights, then inflated; unknown where the
+    variance is too large. A lethal cell stays lethal whatever its variance."""
+    d = gradients(smoothed(cells.withColumnRenamed("height", "elevation"), cfg.smooth_passes), cfg.resolution)
     d = d.withColumn("lethal", (F.col("slope") > robot.max_slope_tan) | (F.col("step") > robot.max_step))
     d = without_specks(d, cfg.min_obstacle_cells)
-    if inflate:
-        import math
-
+    if cfg.inflate_obstacles:
         d = dilated(d, math.ceil(robot.radius / cfg.resolution))
     kind = F.when(F.col("lethal"), LETHAL).when(F.col("variance") > cfg.max_variance, UNKNOWN).otherwise(FREE)
     cost = F.when(F.col("lethal"), F.lit(None)).when(kind == UNKNOWN, cfg.unknown_cost).otherwise(1.0 + 3.0 * F.col("slope") / robot.max_slope_tan + 2.0 * F.sqrt("variance"))

@@ -48,29 +48,40 @@ _CLOUD = f"""b AS (SELECT CAST(l_linenumber AS BIGINT) scan_id, l_orderkey, {_X}
 cloud AS (SELECT scan_id, l_orderkey, x_mm, y_mm, {_Z} z_mm FROM b)"""
 
 
+_OFFSETS = "off AS (SELECT CAST(a.i AS INT) dr, CAST(b.i AS INT) dc FROM range(-3, 4) a(i), range(-3, 4) b(i)), box AS (SELECT * FROM off WHERE abs(dr) <= 1 AND abs(dc) <= 1)"
+
+
 def _stats(each: bool = False) -> str:
     # Grids are stacked, 1000 rows apart, so that a stencil joins on r and c alone.
     return f"""{_CLOUD}, st AS (SELECT {"scan_id" if each else "0::BIGINT"} g, CAST({"1000 * scan_id + " if each else ""}y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, count(*) n, CAST(sum(z_mm) AS BIGINT) sz, CAST(sum(z_mm*z_mm) AS BIGINT) szz, min(z_mm) zmin, max(z_mm) zmax
  FROM cloud GROUP BY ALL),
 e0 AS (SELECT g, r, c, n, (sz / n) * 1e-3 e, sqrt(greatest(0e0, szz / n - (sz / n) * (sz / n))) * 1e-3 rough FROM st),
-off AS (SELECT CAST(a.i AS INT) dr, CAST(b.i AS INT) dc FROM range(-3, 4) a(i), range(-3, 4) b(i)), box AS (SELECT * FROM off WHERE abs(dr) <= 1 AND abs(dc) <= 1)"""
+{_OFFSETS}"""
 
 
 def _smooth(n: int) -> str:
     return "".join(f", e{k} AS (SELECT a.g, a.r, a.c, any_value(a.n) n, avg(b.e) e, any_value(a.rough) rough FROM e{k - 1} a, box, e{k - 1} b WHERE b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c)" for k in range(1, n + 1))
 
 
-def _chain(each: bool = False) -> str:
+_TAN = "tan(radians(3e1))"
+
+
+def _derived(test: str, cost: str) -> str:
+    """From smoothed cells e1 on: slope and step, the raw test for lethal cells, specks, inflation and cost."""
     part = lambda f, b: f"coalesce(({f}.e - {b}.e) / 2e-1, ({f}.e - a.e) / 1e-1, (a.e - {b}.e) / 1e-1, 0e0)"
     joins = " ".join(f"LEFT JOIN e1 {k} ON {k}.r = a.r + {dr} AND {k}.c = a.c + {dc}" for k, dr, dc in (("ea", 0, 1), ("we", 0, -1), ("no", 1, 0), ("so", -1, 0)))
-    return f"""{_stats(each)}{_smooth(1)}, gr AS (SELECT a.*, sqrt({part("ea", "we")} ** 2 + {part("no", "so")} ** 2) slope,
+    return f"""gr AS (SELECT a.*, sqrt({part("ea", "we")} ** 2 + {part("no", "so")} ** 2) slope,
  greatest({", ".join(f"coalesce(abs({k}.e - a.e), 0e0)" for k in ("ea", "we", "no", "so"))}) step FROM e1 a {joins}),
-l0 AS (SELECT *, rough > 5e-2 OR slope > {ROBOT.max_slope_tan!r} OR step > 18e-2 AS lethal FROM gr),
+l0 AS (SELECT *, {test} AS lethal FROM gr),
 deg AS (SELECT a.g, a.r, a.c, count(*) k FROM l0 a, box, l0 b WHERE a.lethal AND b.lethal AND b.r = a.r + dr AND b.c = a.c + dc GROUP BY a.g, a.r, a.c),
 big AS (SELECT DISTINCT a.g, a.r, a.c FROM deg a, box, deg b WHERE b.r = a.r + dr AND b.c = a.c + dc AND b.k >= 3),
 hot AS (SELECT DISTINCT b.g, b.r + dr r, b.c + dc c FROM big b, off WHERE dr*dr + dc*dc <= 9),
 cells AS (SELECT l0.g, l0.r, l0.c, n, e, rough, slope, step, l0.lethal raw, big.r IS NOT NULL deblobbed, hot.r IS NOT NULL lethal,
- CASE WHEN hot.r IS NULL THEN 1e0 + 3e0 * rough / 5e-2 + 3e0 * slope / {ROBOT.max_slope_tan!r} END cost FROM l0 LEFT JOIN big USING (g, r, c) LEFT JOIN hot USING (g, r, c))"""
+ CASE WHEN hot.r IS NULL THEN {cost} END cost FROM l0 LEFT JOIN big USING (g, r, c) LEFT JOIN hot USING (g, r, c))"""
+
+
+def _chain(each: bool = False) -> str:
+    return f"{_stats(each)}{_smooth(1)}, " + _derived(f"rough > 5e-2 OR slope > {_TAN} OR step > 18e-2", f"1e0 + 3e0 * rough / 5e-2 + 3e0 * slope / {_TAN}")
 
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -136,11 +147,10 @@ def bounded_grid(spark, d):
 
 
 @query(
-    f"WITH {_CLOUD}, p AS (SELECT scan_id, x_mm, y_mm FROM cloud) SELECT scan_id, CAST(floor((x_mm - 5000) / 1e2) AS INT) AS bin, CAST(trunc((x_mm - 5000) / 1e2) AS INT) AS cell, count(*) AS n FROM p WHERE x_mm BETWEEN 4500 AND 5500 GROUP BY 1, 2, 3"
+    f"WITH {_CLOUD}, p AS (SELECT scan_id, x_mm, y_mm FROM cloud) SELECT scan_id, CAST(floor((x_mm - 5000) / 1e2) AS INT) AS bin, CAST(trunc((x_mm - 5000) / 1e2) AS INT) AS cell, count(*) AS n FROM p GROUP BY 1, 2, 3"
 )
 def world_to_cell(spark, d):
-    p = cloud(spark, d).filter(F.col("x_mm").between(4500, 5500))
-    return p.groupBy("scan_id", geo.bin_index("x_mm", 5000, 100.0).alias("bin"), geo.world_to_cell("x_mm", 5000, 100.0).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return cloud(spark, d).groupBy("scan_id", geo.bin_index("x_mm", 5000, 100.0).alias("bin"), geo.world_to_cell("x_mm", 5000, 100.0).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -230,7 +240,7 @@ def erode_mask(spark, d):
     return grid.eroded(terrain(spark, d, True).filter("NOT lethal"), _grids(spark, d), 1).select("grid_id", "row", "col")
 
 
-_MEASURES = f"""{_CLOUD}, w AS (SELECT scan_id, CAST(y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, z_mm / 1e3 z, {KALMAN.sensor_var!r}::DOUBLE + {KALMAN.range_coeff!r}::DOUBLE * ((x_mm / 1e3 - 5) ** 2 + (y_mm / 1e3 - 5) ** 2 + (z_mm / 1e3 - 15e-1) ** 2) v FROM cloud),
+_MEASURES = f"""{_CLOUD}, w AS (SELECT scan_id, CAST(y_mm // 100 AS INT) r, CAST(x_mm // 100 AS INT) c, z_mm / 1e3 z, 9e-4 + 4e-4 * ((x_mm / 1e3 - 5) ** 2 + (y_mm / 1e3 - 5) ** 2 + (z_mm / 1e3 - 15e-1) ** 2) v FROM cloud),
 m AS (SELECT scan_id, r, c, sum(z / v) / sum(1e0 / v) z, 1e0 / sum(1e0 / v) v, count(*) hits FROM w GROUP BY ALL)"""
 
 
@@ -249,7 +259,7 @@ def kalman_fused(spark, d):
     return fusion.fused(measures(spark, d)).select("row", "col", _round("height"), _round("variance", 8), "hits")
 
 
-_QV = f"{KALMAN.process_var!r}::DOUBLE"
+_QV = "1e-4"
 
 
 @query(
@@ -262,7 +272,11 @@ def kalman_with_predict(spark, d):
     return fusion.fused_with_process(measures(spark, d), KALMAN.process_var, 7).select("row", "col", _round("height"), _round("variance", 8))
 
 
-@query()
+@query(
+    f"""WITH {_MEASURES}, {_OFFSETS}, e0 AS (SELECT 0::BIGINT g, r, c, sum(hits) n, sum(z / v) / sum(1e0 / v) e, sqrt(1e0 / sum(1e0 / v)) rough FROM m GROUP BY r, c){_smooth(1)},
+{_derived(f"slope > {_TAN} OR step > 18e-2", f"CASE WHEN rough * rough > 5e-2 THEN 50e0 ELSE 1e0 + 3e0 * slope / {_TAN} + 2e0 * rough END")}
+SELECT r AS row, c AS col, CAST(CASE WHEN lethal THEN 1 WHEN rough * rough > 5e-2 THEN 2 ELSE 0 END AS TINYINT) AS class, round(cost, 6) AS cost, round(rough, 6) AS roughness FROM cells"""
+)
 def kalman_cost_grid(spark, d):
     return fusion.fused_grid(fusion.fused(measures(spark, d)), ROBOT, KALMAN).select("row", "col", "class", _round("cost"), _round("roughness"))
 
@@ -295,16 +309,24 @@ def firsts(f: DataFrame) -> DataFrame:
     return f.groupBy("grid_id").agg(F.min(F.struct("row", "col")).alias("s")).select("grid_id", "s.row", "s.col")
 
 
-@query(
-    f"""WITH RECURSIVE {_FREE}, k(g, r, c, id) USING KEY (g, r, c) AS (SELECT g, r, c, r * 100 + c FROM f
-UNION SELECT b.g, b.r, b.c, min(k.id) FROM k, box, f b, recurring.k o WHERE b.r = k.r + dr AND b.c = k.c + dc AND o.r = b.r AND o.c = b.c AND k.id < o.id GROUP BY b.g, b.r, b.c)
-SELECT g AS grid_id, r % 1000 AS row, c AS col, CAST(id // 100 % 1000 AS INT) AS root_row, CAST(id % 100 AS INT) AS root_col FROM k"""
-)
+def _labels(ways: str = "TRUE") -> str:
+    """The least cell id of the group of each free cell, over the neighbours that `ways` allows."""
+    return f"""{_FREE}, k(g, r, c, id) USING KEY (g, r, c) AS (SELECT g, r, c, r * 100 + c FROM f
+UNION SELECT b.g, b.r, b.c, min(k.id) FROM k, box, f b, recurring.k o WHERE {ways} AND b.r = k.r + dr AND b.c = k.c + dc AND o.r = b.r AND o.c = b.c AND k.id < o.id GROUP BY b.g, b.r, b.c)"""
+
+
+_LABELS = _labels()
+
+
+@query(f"WITH RECURSIVE {_LABELS} SELECT g AS grid_id, r % 1000 AS row, c AS col, CAST(id // 100 % 1000 AS INT) AS root_row, CAST(id % 100 AS INT) AS root_col FROM k")
 def components(spark, d):
     return graph.components(free(spark, d)).select("grid_id", "row", "col", F.col("component.row").alias("root_row"), F.col("component.col").alias("root_col"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LABELS}, z AS (SELECT g, id, count(*) n FROM k GROUP BY g, id), best AS (SELECT g, first(id ORDER BY n DESC, id) id, max(n) n FROM z GROUP BY g), j AS (SELECT k.g, k.r % 1000 r, k.c, best.n FROM k JOIN best USING (g, id))
+SELECT g AS grid_id, any_value(n) AS cells, first(r ORDER BY r + c, r, c) AS start_row, first(c ORDER BY r + c, r, c) AS start_col, first(r ORDER BY r + c DESC, r, c) AS goal_row, first(c ORDER BY r + c DESC, r, c) AS goal_col FROM j GROUP BY g"""
+)
 def largest_component(spark, d):
     return graph.largest_component(free(spark, d))
 
@@ -318,7 +340,16 @@ def reachable(spark, d):
     return graph.reachable(f, firsts(f)).select("grid_id", "row", "col")
 
 
-@query()
+_EDGES = """edges AS MATERIALIZED (SELECT a.g, a.r, a.c, b.r r2, b.c c2, CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2e0) ELSE 1e0 END * 5e-1 * (a.cost + b.cost) w FROM f a JOIN box ON dr <> 0 OR dc <> 0 JOIN f b ON b.r = a.r + dr AND b.c = a.c + dc
+ LEFT JOIN f u ON u.r = a.r AND u.c = a.c + dc LEFT JOIN f v ON v.r = a.r + dr AND v.c = a.c WHERE dr = 0 OR dc = 0 OR (u.r IS NOT NULL AND v.r IS NOT NULL))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_FREE}, {_EDGES}, s0 AS (SELECT g, min(r * 100 + c) id FROM f GROUP BY g),
+k(g, r, c, t) USING KEY (g, r, c) AS (SELECT f.g, r, c, CASE WHEN r * 100 + c = id THEN 0e0 ELSE 'Infinity'::DOUBLE END FROM f JOIN s0 USING (g)
+UNION SELECT e.g, e.r2, e.c2, min(k.t + w) FROM k JOIN edges e ON e.r = k.r AND e.c = k.c JOIN recurring.k o ON o.g = e.g AND o.r = e.r2 AND o.c = e.c2 WHERE k.t + w < o.t GROUP BY 1, 2, 3)
+SELECT g AS grid_id, r % 1000 AS row, c AS col, round(t, 6) AS total FROM k WHERE t < 'Infinity'::DOUBLE"""
+)
 def shortest_cost(spark, d):
     f = free(spark, d)
     starts = firsts(f).withColumnsRenamed({"row": "start_row", "col": "start_col"})
@@ -349,12 +380,9 @@ def chamfer(spark, d):
     return graph.chamfer(terrain(spark, d, True).filter("lethal"), _grids(spark, d)).select("grid_id", "row", "col", _round("distance"))
 
 
-_HALF = NAV.map_size / 2 - 3 * NAV.resolution
-
-
 @query(
     f"""WITH {_GOALS}, s AS (SELECT query_id, c0 / 1e1 px, r0 / 1e1 py, (c1 - c0) / 1e1 dx, (r1 - r0) / 1e1 dy FROM q)
-SELECT query_id, round(px + dx / greatest(greatest(abs(dx), abs(dy)) / {_HALF!r}, 1e0), 6) AS gx, round(py + dy / greatest(greatest(abs(dx), abs(dy)) / {_HALF!r}, 1e0), 6) AS gy FROM s"""
+SELECT query_id, round(px + dx / greatest(greatest(abs(dx), abs(dy)) / 37e-1, 1e0), 6) AS gx, round(py + dy / greatest(greatest(abs(dx), abs(dy)) / 37e-1, 1e0), 6) AS gy FROM s"""
 )
 def goal_projection(spark, d):
     g = goals(spark, d).select("query_id", *((F.col(a) / 10.0).alias(b) for a, b in (("start_col", "px"), ("start_row", "py"), ("goal_col", "gx"), ("goal_row", "gy"))))
@@ -402,9 +430,9 @@ _POSE = """s AS (SELECT o_orderkey query_id, o_orderkey * 37 % 100 / 1e1 x, o_cu
 
 @query(
     f"""WITH {_POSE}, e AS (SELECT *, atan2(sin(atan2(carrot_y - y, carrot_x - x) - yaw), cos(atan2(carrot_y - y, carrot_x - x) - yaw)) err,
- CASE WHEN goal_x IS NULL THEN 'waiting for goal' WHEN sqrt((goal_x - x) ** 2 + (goal_y - y) ** 2) <= 25e-2 THEN 'goal reached' WHEN scan_age > 1 THEN 'scan timeout' WHEN carrot_x IS NULL THEN 'no path' END st FROM s)
-SELECT query_id, round(CASE WHEN st IS NOT NULL OR abs(err) > 8e-1 THEN 0e0 ELSE 4e-1 * greatest(0e0, cos(err)) END, 6) AS vx, round(CASE WHEN st IS NOT NULL THEN 0e0 ELSE greatest(-8e-1, least(8e-1, err * 12e-1)) END, 6) AS wz,
- coalesce(st, CASE WHEN abs(err) > 8e-1 THEN 'turning' ELSE 'following' END) AS status FROM e"""
+ CASE WHEN goal_x IS NULL THEN 'waiting for goal' WHEN sqrt((goal_x - x) ** 2 + (goal_y - y) ** 2) <= 25e-2 THEN 'goal reached' WHEN scan_age > 1 THEN 'scan timeout - stopped' WHEN carrot_x IS NULL THEN 'no path' END st FROM s)
+SELECT query_id, round(CASE WHEN st IS NOT NULL OR abs(err) > 1e0 THEN 0e0 ELSE 5e-1 * greatest(0e0, cos(err)) END, 6) AS vx, round(CASE WHEN st IS NOT NULL THEN 0e0 ELSE greatest(-12e-1, least(12e-1, err * 2e0)) END, 6) AS wz,
+ coalesce(st, CASE WHEN abs(err) > 1e0 THEN 'rotating to heading' ELSE 'following path' END) AS status FROM e"""
 )
 def command(spark, d):
     s = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
@@ -420,8 +448,8 @@ _FIELD = "fl AS (SELECT vec_id, embedding[1]::DOUBLE * 4 x, embedding[2]::DOUBLE
 
 @query(
     f"""WITH {_FIELD}, a AS (SELECT *, 1 - x dx, 2 - y dy, sqrt((1 - x) ** 2 + (2 - y) ** 2) dd, sqrt(gx * gx + gy * gy) g FROM fl),
-b AS (SELECT *, CASE WHEN dd > 2 THEN 2 / dd ELSE 1 END pull, CASE WHEN rho > 0 AND rho <= 8e-1 THEN least(5e-1 * (1 / rho - 1 / 8e-1) / (rho * rho), 50) ELSE 0 END push FROM a)
-SELECT vec_id, round(pull * dx + push * CASE WHEN g > 0 THEN gx / g ELSE 0 END, 4) AS fx, round(pull * dy + push * CASE WHEN g > 0 THEN gy / g ELSE 0 END, 4) AS fy FROM b"""
+b AS (SELECT *, CASE WHEN dd > 2 THEN 2 / dd ELSE 1 END pull, CASE WHEN rho > 0 AND rho <= 8e-1 THEN least(6e-1 * (1 / rho - 1 / 8e-1) / (rho * rho), 50) ELSE 0 END push FROM a)
+SELECT vec_id, round(pull * dx + push * CASE WHEN g > 1e-6 THEN gx / g ELSE 0 END, 4) AS fx, round(pull * dy + push * CASE WHEN g > 1e-6 THEN gy / g ELSE 0 END, 4) AS fy FROM b"""
 )
 def apf_force(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -505,19 +533,73 @@ def planned(spark, d) -> tuple[DataFrame, DataFrame]:
     return f, graph.plan_paths(f, asked, spread=SPREAD)
 
 
-@query()
+#: A diagonal step needs both cells beside it, so what can be reached is a group over four neighbours.
+_ROUTES = f"""{_labels("abs(dr) + abs(dc) = 1")}, {_EDGES}, ask AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, CAST(37 * s_suppkey % 100 AS INT) r0, CAST((53 * s_suppkey + 11 * s_nationkey) % 100 AS INT) c0, CAST((71 * s_suppkey + 50) % 100 AS INT) r1, CAST((91 * s_suppkey + 29 * s_nationkey + 50) % 100 AS INT) c1 FROM supplier),
+{", ".join(f"""n{e} AS (SELECT q, first(f.r % 1000 ORDER BY greatest(abs(f.r % 1000 - r{e}), abs(f.c - c{e})), f.r % 1000 - r{e}, f.c - c{e}) r, first(c ORDER BY greatest(abs(f.r % 1000 - r{e}), abs(f.c - c{e})), f.r % 1000 - r{e}, f.c - c{e}) c
+ FROM ask, f WHERE f.g = ask.g AND abs(f.r % 1000 - r{e}) < 25 AND abs(f.c - c{e}) < 25 GROUP BY q)""" for e in (0, 1))},
+route AS MATERIALIZED (SELECT ask.q, ask.g, n0.r r0, n0.c c0, n1.r r1, n1.c c1, a.id = b.id AS near FROM ask LEFT JOIN n0 ON n0.q = ask.q LEFT JOIN n1 ON n1.q = ask.q LEFT JOIN k a ON a.r = 1000 * ask.g + n0.r AND a.c = n0.c LEFT JOIN k b ON b.r = 1000 * ask.g + n1.r AND b.c = n1.c)"""
+
+
+def _search(routes: str) -> str:
+    """Least costs t of the cells around, with the cell before, from the starts of some routes (q, g, r0, c0, near: whether both ends are in one group of cells)."""
+    return f"""sp(q, g, r, c, t, pr, pc) USING KEY (q, r, c) AS (SELECT q, b.g, b.r, b.c, CASE WHEN b.r = a.r AND b.c = a.c THEN 0e0 ELSE 'Infinity'::DOUBLE END, -1, -1 FROM {routes} JOIN k a ON a.r = 1000 * {routes}.g + r0 AND a.c = c0 JOIN k b ON b.g = a.g AND b.id = a.id WHERE near
+UNION SELECT sp.q, e.g, e.r2, e.c2, min(sp.t + w), arg_min(e.r, sp.t + w), arg_min(e.c, sp.t + w) FROM sp JOIN edges e ON e.r = sp.r AND e.c = sp.c JOIN recurring.sp o ON o.q = sp.q AND o.r = e.r2 AND o.c = e.c2 WHERE sp.t + w < o.t GROUP BY sp.q, e.g, e.r2, e.c2)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}
+SELECT route.q AS query_id, CASE WHEN r0 IS NULL OR r1 IS NULL THEN 'blocked' WHEN t < 'Infinity'::DOUBLE THEN 'found' ELSE 'unreachable' END AS status, round(CASE WHEN t < 'Infinity'::DOUBLE THEN t END, 6) AS cost
+FROM route LEFT JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1"""
+)
 def plan_paths(spark, d):
     return planned(spark, d)[1].select("query_id", "status", _round("cost"))
 
 
-@query()
+#: Distances and gradients of the free cells' grids, as far as their largest row and column.
+_DISTANCES = """side AS (SELECT g, max(r % 1000) + 1 h, max(c) + 1 w FROM f GROUP BY g), whole AS (SELECT g, CAST(1000 * g + a.i AS INT) r, CAST(b.i AS INT) c, h, w FROM side, range(0, h) a(i), range(0, w) b(i)),
+wall AS (SELECT g, r, c FROM whole ANTI JOIN f USING (g, r, c)),
+near AS (SELECT f.g, f.r, f.c, min(greatest(abs(y), abs(x)) + (sqrt(2e0) - 1e0) * least(abs(y), abs(x))) d FROM f, range(-9, 10) a(y), range(-9, 10) b(x), wall o WHERE o.r = f.r + y AND o.c = f.c + x GROUP BY f.g, f.r, f.c HAVING d <= 10),
+far AS (SELECT f.g, f.r, f.c, min(greatest(abs(f.r - o.r), abs(f.c - o.c)) + (sqrt(2e0) - 1e0) * least(abs(f.r - o.r), abs(f.c - o.c))) d FROM (SELECT g, r, c FROM f ANTI JOIN near USING (g, r, c)) f LEFT JOIN wall o ON o.g = f.g GROUP BY f.g, f.r, f.c),
+ds AS MATERIALIZED (SELECT x.g, x.r, x.c, h, w, CASE WHEN o.r IS NOT NULL THEN 0e0 ELSE coalesce(near.d, far.d, 2e0 * (h + w)) END * 1e-1 d FROM whole x LEFT JOIN wall o USING (g, r, c) LEFT JOIN near USING (g, r, c) LEFT JOIN far USING (g, r, c)),
+fl AS MATERIALIZED (SELECT a.*, CASE WHEN n.d IS NULL THEN (a.d - s.d) / 1e-1 WHEN s.d IS NULL THEN (n.d - a.d) / 1e-1 ELSE (n.d - s.d) / 2e-1 END gy, CASE WHEN e.d IS NULL THEN (a.d - v.d) / 1e-1 WHEN v.d IS NULL THEN (e.d - a.d) / 1e-1 ELSE (e.d - v.d) / 2e-1 END gx
+ FROM ds a LEFT JOIN ds n ON n.g = a.g AND n.r = a.r + 1 AND n.c = a.c LEFT JOIN ds s ON s.g = a.g AND s.r = a.r - 1 AND s.c = a.c LEFT JOIN ds e ON e.g = a.g AND e.r = a.r AND e.c = a.c + 1 LEFT JOIN ds v ON v.g = a.g AND v.r = a.r AND v.c = a.c - 1)"""
+_AT = "a.r = 1000 * {p}.g + greatest(0, least(h - 1, CAST(round_even({p}.y / 1e-1 - 5e-1, 0) AS INT))) AND a.c = greatest(0, least(w - 1, CAST(round_even({p}.x / 1e-1 - 5e-1, 0) AS INT)))"
+
+_PUSH = "CASE WHEN d < 5e-1 AND sqrt(gx * gx + gy * gy) > 1e-6 THEN 15e-2 * ((5e-1 - d) / 5e-1) / sqrt(gx * gx + gy * gy) ELSE 0e0 END"
+
+
+@query(
+    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}, bt(q, g, n, r, c) AS (SELECT route.q, route.g, 0, sp.r, sp.c FROM route JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1 WHERE t < 'Infinity'::DOUBLE
+UNION ALL SELECT bt.q, bt.g, n + 1, pr, pc FROM bt JOIN sp ON sp.q = bt.q AND sp.r = bt.r AND sp.c = bt.c WHERE pr >= 0),
+pts AS (SELECT q, g, max(n) OVER (PARTITION BY q) - n seq, (c + 5e-1) * 1e-1 x, (r % 1000 + 5e-1) * 1e-1 y FROM bt), {_DISTANCES},
+band(i, q, g, seq, x, y) AS (SELECT 0, q, g, seq, x, y FROM pts
+UNION ALL SELECT i + 1, q, g, seq, CASE WHEN fr.r IS NOT NULL AND mx IS NOT NULL THEN mx ELSE x END, CASE WHEN fr.r IS NOT NULL AND my IS NOT NULL THEN my ELSE y END FROM
+ (SELECT p.i, p.q, p.g, p.seq, p.x, p.y, h, w, p.x + 3e-1 * (5e-1 * (u.x + v.x) - p.x) + {_PUSH} * gx mx, p.y + 3e-1 * (5e-1 * (u.y + v.y) - p.y) + {_PUSH} * gy my
+  FROM band p LEFT JOIN band u ON u.q = p.q AND u.seq = p.seq - 1 LEFT JOIN band v ON v.q = p.q AND v.seq = p.seq + 1 JOIN fl a ON {_AT.format(p="p")}) m
+ LEFT JOIN (SELECT r, c FROM f) fr ON fr.r = 1000 * m.g + greatest(0, least(h - 1, CAST(trunc(my / 1e-1) AS INT))) AND fr.c = greatest(0, least(w - 1, CAST(trunc(mx / 1e-1) AS INT))) WHERE i < 80)
+SELECT q AS query_id, CAST(seq AS INT) AS seq, round(x, 6) AS x, round(y, 6) AS y FROM band WHERE i = 80"""
+)
 def smooth_paths(spark, d):
     f, p = planned(spark, d)
     return motion.smooth_paths(f, p.withColumn("grid_id", 1 + F.col("query_id") % 7), 0.1, spread=SPREAD).select("query_id", "seq", _round("x"), _round("y"))
 
 
-@query()
+#: A step in the field from (x, y) toward (tx, ty): speeds vx, vy and how large the force was.
+_MOVE = """SELECT *, fx * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vx, fy * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vy FROM (SELECT *, sqrt(fx * fx + fy * fy) sp FROM (
+ SELECT *, CASE WHEN push IS NULL THEN pull * dx ELSE pull * dx + push * gx / gn END fx, CASE WHEN push IS NULL THEN pull * dy ELSE pull * dy + push * gy / gn END fy FROM (SELECT *, CASE WHEN dd > 2e0 THEN 2e0 / dd ELSE 1e0 END pull,
+ CASE WHEN rho > 0 AND rho <= 8e-1 AND gn > 1e-6 THEN least(6e-1 * (1e0 / rho - 1e0 / 8e-1) / (rho * rho), 50e0) END push FROM (SELECT p.*, sqrt(dx * dx + dy * dy) dd, a.d rho, gx, gy, sqrt(gx * gx + gy * gy) gn FROM (SELECT *, tx - x dx, ty - y dy FROM {p}) p JOIN fl a ON a.g = p.g AND {at}))))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_FREE}, {_DISTANCES}, ag AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, s_suppkey * 53 % 100 / 1e1 x, s_suppkey * 37 % 100 / 1e1 y, s_suppkey * 91 % 100 / 1e1 tx, s_suppkey * 71 % 100 / 1e1 ty FROM supplier),
+ro(q, g, k, x, y, tx, ty, stuck) AS (SELECT q, g, 0, x, y, tx, ty, 0 FROM ag
+UNION ALL SELECT q, g, k + 1, x + CASE WHEN now > 3 THEN vx - 3e-1 * 6e-1 * dy / dd ELSE vx END * 1e-1, y + CASE WHEN now > 3 THEN vy + 3e-1 * 6e-1 * dx / dd ELSE vy END * 1e-1, tx, ty, now FROM
+ (SELECT *, CASE WHEN sp < 5e-2 THEN stuck + 1 ELSE 0 END now FROM ({_MOVE.format(p="ro", at=_AT.format(p="p"))})) WHERE dd > 15e-2 AND k < 600)
+SELECT q AS agent_id, count(*) AS steps, round(arg_max(x, k), 4) AS x, round(arg_max(y, k), 4) AS y, round(sum(x + 2e0 * y), 3) AS trace FROM ro GROUP BY q"""
+)
 def apf_rollouts(spark, d):
     at = lambda k: f"s_suppkey * {k} % 100 / 1e1"
     agents = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS agent_id", "1 + s_suppkey % 7 AS grid_id", f"{at(53)} AS x", f"{at(37)} AS y", f"array(struct({at(91)} AS x, {at(71)} AS y)) AS goals")
-    return motion.rollouts(free(spark, d), agents, 0.1, spread=SPREAD).groupBy("agent_id").agg(F.count(F.lit(1)).alias("steps"))
+    t = motion.rollouts(free(spark, d), agents, 0.1, spread=SPREAD).groupBy("agent_id")
+    last = lambda c: _rounded(F.max_by(c, "seq"), 4).alias(c)
+    return t.agg(F.count(F.lit(1)).alias("steps"), last("x"), last("y"), _rounded(F.sum(F.col("x") + 2.0 * F.col("y")), 3).alias("trace"))

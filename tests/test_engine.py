@@ -78,8 +78,52 @@ def test_bands_and_rollouts_stay_free():
     got = graph.least_cost({(r, c): 1.0 for r, c in np.argwhere(np.isfinite(cost)).tolist()}, (5, 20), (35, 20))
     xy = motion.elastic_band(np.array(got[1]), cost, 0.1)
     assert np.allclose(xy[0], (2.05, 0.55)) and np.isfinite(cost[tuple(np.floor(xy[:, ::-1] / 0.1).astype(int).T)]).all()
-    end = motion.rollout(np.ones((40, 40)), 0.1, (0.5, 0.5), [(3.0, 3.0)])[-1]
+    end = motion.rollout(motion.Field(np.ones((40, 40)), 0.1), (0.5, 0.5), [(3.0, 3.0)])[-1]
     assert math.dist(end, (3.0, 3.0)) <= ApfConfig().goal_tol
+    flat = motion.distance_array(np.ones((5, 7)), 0.1)
+    assert np.allclose(flat, 2.4)
+    small = np.ones((5, 5))
+    small[2, 2] = np.inf
+    d = motion.distance_array(small, 1.0)
+    assert d[2, 2] == 0 and d[2, 0] == 2 and math.isclose(d[0, 0], 2 * math.sqrt(2))
+
+
+def test_distances_equal_all_obstacles():
+    rng = np.random.default_rng(3)
+    for share in (0.02, 0.3):
+        cost = np.where(rng.random((30, 41)) < share, np.inf, 1.0)
+        at = np.argwhere(np.isinf(cost))
+        r, c = np.indices(cost.shape)
+        a, b = abs(r[..., None] - at[:, 0]), abs(c[..., None] - at[:, 1])
+        assert np.array_equal(motion.distance_array(cost, 0.1), (np.maximum(a, b) + (math.sqrt(2) - 1) * np.minimum(a, b)).min(2) * 0.1)
+
+
+def test_fields_keep_away_and_follow():
+    """A wall with a gap: a path through it is followed to its end without touching the wall; a still goal behind it traps."""
+    cost = np.ones((60, 60))
+    cost[28:32, :40] = np.inf
+    field = motion.Field(cost, 0.1)
+    path = [(2.0, 1.0), (3.0, 1.5), (4.0, 2.0), (5.0, 2.5), (5.0, 3.5), (4.0, 4.0), (3.0, 4.5), (2.0, 5.0)]
+    xy = motion.followed(field, path)
+    assert math.dist(xy[-1], path[-1]) <= ApfConfig().goal_tol
+    assert np.isfinite(cost[(xy[:, 1] / 0.1).astype(int), (xy[:, 0] / 0.1).astype(int)]).all()
+    stuck = motion.rollout(field, (2.0, 1.0), [(2.0, 5.0)], 300, kicks=False)
+    assert len(stuck) == 301 and math.dist(stuck[-1], (2.0, 5.0)) > 1
+    moving = [(min(1 + 0.4 * k * 0.1, 5.0), 1.0) for k in range(400)]
+    assert math.dist(motion.rollout(field, (0.8, 1.0), moving)[-1], (5.0, 1.0)) <= ApfConfig().goal_tol
+    assert motion.followed(field, [(1.0, 1.0)]).tolist() == [[1.0, 1.0]] and motion.followed(field, []).shape == (0, 2)
+    speeds = np.hypot(*np.diff(xy, axis=0).T) / ApfConfig().dt
+    assert speeds.max() <= ApfConfig().max_speed + 1e-9
+
+
+def test_a_kick_is_added_sideways_and_goes_on():
+    """Between two equal pulls nothing moves; from the fourth slow step on each step goes sideways by 0.3 of the top speed."""
+    cost = np.ones((61, 61))
+    field = motion.Field(cost, 0.1)
+    field.velocity = lambda x, y, gx, gy: (0.0, 0.0, 0.0)
+    xy = motion.rollout(field, (1.0, 1.0), [(3.0, 1.0)], 6)
+    step = 0.3 * ApfConfig().max_speed * ApfConfig().dt
+    assert np.allclose(xy[:4], (1.0, 1.0)) and np.allclose(np.hypot(*np.diff(xy, axis=0).T)[3:], step) and np.allclose(xy[4], (1.0, 1.0 + step))
 
 
 def test_point_files(spark, tmp_path):

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
     assert columns == sorted(want.columns)
     got = ordered([tuple(r) for r in df.select(*columns).collect()])
     exp = ordered(duck.sql(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall())
-    assert len(got) == len(exp) and (exp or name == "erode_mask")  # a thin cloud has no cell with all neighbours
+    assert len(got) == len(exp) and (exp or name in ("erode_mask", "smooth_paths"))  # on a thin cloud no cell has all neighbours, and no path is found
     bad = [(g, e) for g, e in zip(got, exp) if not all(map(same, g, e))]
     assert not bad, bad[:3]
 
