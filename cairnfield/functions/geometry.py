@@ -20,6 +20,11 @@ def cell_centre(i, origin, resolution: float) -> Column:
     return _c(origin) + (_c(i) + 0.5) * F.lit(resolution)
 
 
+def world_index(i, origin, resolution: float) -> Column:
+    """The index of a cell's centre in a map that begins at 0."""
+    return F.floor(cell_centre(i, origin, resolution) / F.lit(resolution)).cast("int")
+
+
 def in_grid(row, col, rows, cols) -> Column:
     return (_c(row) >= 0) & (_c(row) < _c(rows)) & (_c(col) >= 0) & (_c(col) < _c(cols))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FREE, LETHAL, UNKNOWN, KalmanConfig, RobotLimits
+from .graph import checkpointed
 from .grid import KEY, dilated, gradients, smoothed, without_specks
 
 #: Weights of a map cell: of one observation, of what was known, and in all.
@@ -72,6 +73,27 @@ def _new(x: Column) -> Column:
     return F.least(F.greatest(x["n"], F.lit(1)), F.lit(NEW_CAP)).cast("int")
 
 
+def checked(resolution: float, grid_resolution: float, refresh_radius: float | None = None, sensor: tuple[float, float] | None = None) -> None:
+    """Raises ValueError if a grid can't be fused into a map: other cells, a radius below zero, or one without the sensor's place."""
+    if abs(grid_resolution - resolution) > 1e-6:
+        raise ValueError("the grid's resolution is not the map's")
+    if refresh_radius is not None and refresh_radius < 0:
+        raise ValueError("the refresh radius must not be negative")
+    if refresh_radius is not None and sensor is None:
+        raise ValueError("a refresh radius needs the sensor's place")
+
+
+def folded_in_parts(local: DataFrame, known: DataFrame | None = None, refresh_radius: float | None = None, most: int = 10_000) -> DataFrame:
+    """`folded_map` for any number of observations: stretches of at most `most` seqs, so of a cell's observations in one row, are
+    folded one after the other, each into the checkpointed map of those before."""
+    ends = local.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    if ends["a"] is None or ends["b"] - ends["a"] < most:
+        return folded_map(local, known, refresh_radius)
+    for at in range(ends["a"], ends["b"] + 1, most):
+        known = checkpointed(folded_map(local.filter(F.col("seq").between(at, at + most - 1)), known, refresh_radius))
+    return known
+
+
 def folded_map(local: DataFrame, known: DataFrame | None = None, refresh_radius: float | None = None) -> DataFrame:
     """The sparse map (ix, iy, elevation, class, weight) after local cells (seq, row, col, ix, iy, elevation, class, n, distance).
 
@@ -97,3 +119,26 @@ def folded_map(local: DataFrame, known: DataFrame | None = None, refresh_radius:
 def snapshot(cells: DataFrame) -> DataFrame:
     """The map in the order of (iy, ix)."""
     return cells.select("ix", "iy", F.col("elevation").cast("float").alias("elevation"), "class", "weight").orderBy("iy", "ix")
+
+
+def mean_variance(cells: DataFrame) -> DataFrame:
+    """The mean variance of the observed cells; one row, null without any."""
+    return cells.agg(F.avg("variance").alias("mean_variance"))
+
+
+def changes(local: DataFrame, known: DataFrame | None = None, refresh_radius: float | None = None, revision: int = 0) -> DataFrame:
+    """By seq of local cells (as in `folded_map`): how many the map takes, and its revision after, which rises only where it takes some.
+
+    Cells that are new are taken, known ones only within the refresh radius.
+    """
+    ok = local.filter((F.col("class") != UNKNOWN) & F.col("elevation").isNotNull() & ~F.isnan("elevation"))
+    first = ok.groupBy("ix", "iy").agg(F.min(F.struct("seq", "row", "col")).alias("first"))
+    d = ok.join(first, ["ix", "iy"])
+    new = F.struct("seq", "row", "col") == F.col("first")
+    if known is not None:
+        d = d.join(known.select("ix", "iy", F.lit(True).alias("__known")), ["ix", "iy"], "left")
+        new = new & F.col("__known").isNull()
+    taken = F.lit(True) if refresh_radius is None else new | (F.col("distance") <= refresh_radius)
+    by = local.select("seq").distinct().join(d.filter(taken).groupBy("seq").agg(F.count(F.lit(1)).alias("changed")), "seq", "left").select("seq", F.coalesce("changed", F.lit(0)).alias("changed"))
+    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # a row for each grid that was fused
+    return by.withColumn("revision", (F.sum(F.when(F.col("changed") > 0, 1).otherwise(0)).over(w) + revision).cast("long"))

@@ -26,32 +26,32 @@ PLY_TYPES = {
 FIELD_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8: "f8"}
 
 
-def from_npy(raw: bytes) -> np.ndarray:
+def from_npy(raw: bytes, every: int = 1) -> np.ndarray:
     a = np.load(io.BytesIO(raw), allow_pickle=False)
-    return np.atleast_2d(a).astype("float64")
+    return np.atleast_2d(a)[::every].astype("float64")
 
 
-def from_kitti(raw: bytes) -> np.ndarray:
+def from_kitti(raw: bytes, every: int = 1) -> np.ndarray:
     if len(raw) % 16:
         raise ValueError("a point has four 32-bit numbers")
-    return np.frombuffer(raw, "<f4").reshape(-1, 4).astype("float64")
+    return np.frombuffer(raw, "<f4").reshape(-1, 4)[::every].astype("float64")
 
 
-def from_text(raw: bytes, separator: str | None = None) -> np.ndarray:
-    rows = [line.split(separator) for line in raw.decode().splitlines() if line.strip() and not line.lstrip().startswith("#")]
+def from_text(raw: bytes, every: int = 1, separator: str | None = None) -> np.ndarray:
+    rows = [line.split(separator) for line in raw.decode().splitlines() if line.strip() and not line.lstrip().startswith("#")][::every]
     return np.array([[float(v) for v in r] for r in rows], "float64").reshape(len(rows), -1)
 
 
-def from_pcd(raw: bytes) -> np.ndarray:
+def from_pcd(raw: bytes, every: int = 1) -> np.ndarray:
     head, found, body = raw.partition(b"DATA")
     if not found or not body.lstrip().startswith(b"ascii"):
         raise ValueError("only ascii PCD files with a DATA line are read")
     lines = body.split(b"\n", 1)[1:] or [b""]
-    rows = [line.split()[:3] for line in lines[0].decode().splitlines() if line.strip()]
+    rows = [line.split()[:3] for line in lines[0].decode().splitlines() if line.strip()][::every]
     return np.array(rows, "float64").reshape(len(rows), -1)
 
 
-def from_ply(raw: bytes) -> np.ndarray:
+def from_ply(raw: bytes, every: int = 1) -> np.ndarray:
     """x, y, z of the vertices; elements before them are skipped by their size, so they can't have lists."""
     head, found, body = raw.partition(b"end_header")
     if not raw.startswith(b"ply") or not found:
@@ -78,9 +78,9 @@ def from_ply(raw: bytes) -> np.ndarray:
             if missing := {"x", "y", "z"} - set(names):
                 raise ValueError(f"a vertex lacks {sorted(missing)}")
             if lines is not None:
-                return np.array([[float(v.split()[names.index(c)]) for c in "xyz"] for v in lines[at : at + count]], "float64").reshape(count, 3)
+                return np.array([[float(v.split()[names.index(c)]) for c in "xyz"] for v in lines[at : at + count : every]], "float64").reshape(-1, 3)
             order = "<" if "little" in kind else ">"
-            a = np.frombuffer(body, np.dtype([(p, order + t) for t, p in properties]), count, at)
+            a = np.frombuffer(body, np.dtype([(p, order + t) for t, p in properties]), count, at)[::every]
             return np.stack([a[c].astype("float64") for c in "xyz"], 1)
         if lines is not None:
             at += count
@@ -91,28 +91,54 @@ def from_ply(raw: bytes) -> np.ndarray:
     raise ValueError("no vertices")
 
 
-def from_message(data: bytes, fields: list[dict], point_step: int, row_step: int, width: int, height: int, big_endian: bool = False) -> np.ndarray:
-    """Finite x, y, z of a packed cloud whose fields (name, offset, datatype) and row padding its message declares."""
+def message_fields(data: bytes, fields: list[dict], point_step: int, row_step: int, width: int, height: int, big_endian: bool = False, names: tuple[str, ...] | None = None) -> np.ndarray:
+    """The fields `names` (all of them, if None) of a packed cloud, as 32-bit floats by point; its message declares the fields
+    (name, offset, datatype) and the padding of rows."""
     by = {f["name"]: f for f in fields}
-    if missing := {"x", "y", "z"} - set(by):
+    names = tuple(by) if names is None else names
+    if missing := set(names) - set(by):
         raise ValueError(f"a point lacks {sorted(missing)}")
     order = ">" if big_endian else "<"
-    kind = np.dtype({"names": list("xyz"), "formats": [order + FIELD_TYPES[by[c]["datatype"]] for c in "xyz"], "offsets": [by[c]["offset"] for c in "xyz"], "itemsize": point_step})
+    kind = np.dtype({"names": list(names), "formats": [order + FIELD_TYPES[by[c]["datatype"]] for c in names], "offsets": [by[c]["offset"] for c in names], "itemsize": point_step})
     step = row_step or width * point_step
     rows = [np.frombuffer(data, kind, width, r * step) for r in range(height)] if width else []
-    out = np.concatenate([np.stack([a[c].astype("float64") for c in "xyz"], 1) for a in rows]) if rows else np.zeros((0, 3))
+    return np.concatenate([np.stack([a[c].astype("float32") for c in names], 1) for a in rows]) if rows else np.zeros((0, len(names)), "float32")
+
+
+def from_message(data: bytes, fields: list[dict], point_step: int, row_step: int, width: int, height: int, big_endian: bool = False) -> np.ndarray:
+    """Finite x, y, z of a packed cloud."""
+    out = message_fields(data, fields, point_step, row_step, width, height, big_endian, ("x", "y", "z")).astype("float64")
     return out[np.isfinite(out).all(1)]
 
 
-READERS = {".npy": from_npy, ".bin": from_kitti, ".pcd": from_pcd, ".ply": from_ply, ".xyz": from_text, ".txt": from_text, ".csv": lambda raw: from_text(raw, ",")}
+def decode_messages(messages: DataFrame, key: str = "scan_id") -> DataFrame:
+    """Finite points (key, pid, x, y, z) of rows with packed clouds: data, fields (array of name, offset, datatype), point_step, row_step,
+    width, height, big_endian. Rows without data give none."""
+    columns = ["data", "fields", "point_step", "row_step", "width", "height", "big_endian"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for i in range(b.num_rows):
+                k, data, *rest = (b.column(j)[i].as_py() for j in range(b.num_columns))
+                if data is None:
+                    continue
+                xyz = from_message(data, *rest)
+                for at in range(0, len(xyz), SLICE):
+                    part = xyz[at : at + SLICE]
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), b.schema.field(0).type), pa.array(np.arange(at, at + len(part))), *(pa.array(part[:, j]) for j in range(3))], [key, "pid", "x", "y", "z"])
+
+    return messages.select(key, *columns).mapInArrow(run, f"{key} {messages.schema[key].dataType.simpleString()}, pid long, x double, y double, z double")
+
+
+READERS = {".npy": from_npy, ".bin": from_kitti, ".pcd": from_pcd, ".ply": from_ply, ".xyz": from_text, ".txt": from_text, ".csv": lambda raw, every=1: from_text(raw, every, ",")}
 
 
-def decode(path: str, raw: bytes) -> np.ndarray:
-    """Points of a file by its extension; at least three columns."""
+def decode(path: str, raw: bytes, every: int = 1) -> np.ndarray:
+    """Every k-th point of a file by its extension; at least three columns. What is left out of binary files is never decoded."""
     ext = os.path.splitext(path)[1].lower()
     if ext not in READERS:
         raise ValueError(f"no reader for {ext!r} files")
-    a = READERS[ext](raw)
+    a = READERS[ext](raw, every)
     if len(a) and a.shape[1] < 3:
         raise ValueError("a point needs x, y and z")
     return a.reshape(len(a), -1)
@@ -128,28 +154,50 @@ def read_points(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for name, raw in zip(b.column(0), b.column(1)):
-                a = decode(name.as_py(), raw.as_py())[:: max(1, every)]
+                a = decode(name.as_py(), raw.as_py(), max(1, every))
                 for at in range(0, len(a), SLICE):
                     part = a[at : at + SLICE]
                     extra = pa.array(part[:, 3]) if part.shape[1] > 3 else pa.nulls(len(part), pa.float64())
                     pids = np.arange(at, at + len(part)) * max(1, every)
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(pids), *(pa.array(part[:, i]) for i in range(3)), extra], ["path", "pid", "x", "y", "z", "intensity"])
 
-    small = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if small > 16 or small <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return files.mapInArrow(run, SCHEMA)
 
 
-def read_sweeps(points: np.ndarray, offsets: np.ndarray, stamps: np.ndarray) -> Iterator[tuple[int, float, np.ndarray]]:
-    """Frames of a recorded video: number, time and points, by the offsets of each frame's first point."""
-    for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
-        yield k, float(stamps[k]), points[a:b]
+def read_video(spark: SparkSession, path: str) -> DataFrame:
+    """Points of recorded videos (array files with pts, offsets, stamps and poses): (path, frame, stamp, pid, x, y, z, pose). `pose` is the
+    robot's place and quaternion; frames without points have no rows. Offsets must rise from 0 to the number of points."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    names = ["path", "frame", "stamp", "pid", "x", "y", "z", "pose"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for name, raw in zip(b.column(0), b.column(1)):
+                with np.load(io.BytesIO(raw.as_py()), allow_pickle=False) as f:
+                    pts, offsets, stamps, poses = (f[k] for k in ("pts", "offsets", "stamps", "poses"))
+                if len(offsets) != len(stamps) + 1 or len(poses) != len(stamps) or offsets[0] != 0 or offsets[-1] != len(pts) or (np.diff(offsets) < 0).any():
+                    raise ValueError(f"{name.as_py()}: frames, stamps and poses don't fit the points")
+                for k in range(len(stamps)):
+                    for at in range(int(offsets[k]), int(offsets[k + 1]), SLICE):
+                        part = pts[at : min(at + SLICE, int(offsets[k + 1]))].astype("float64")
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name.as_py()] * n), pa.array([k] * n, pa.int32()), pa.array([float(stamps[k])] * n), pa.array(np.arange(at, at + n)), *(pa.array(part[:, j]) for j in range(3)), pa.array([poses[k].astype("float64").tolist()] * n)], names
+                        )
+
+    return files.mapInArrow(run, "path string, frame int, stamp double, pid long, x double, y double, z double, pose array<double>")
 
 
 def scene(spark: SparkSession, points: int = 40_000, seed: int = 0) -> DataFrame:
-    """A made-up scene of 10 by 10 metres: rising ground, two walls and a curb."""
+    """A made-up scene of 10 by 10 metres: rising ground, two walls, a curb and a ramp."""
     d = spark.range(points).select(F.col("id").alias("pid"), (10 * F.rand(seed)).alias("x"), (10 * F.rand(seed + 1)).alias("y"), F.randn(seed + 2).alias("e"), F.rand(seed + 3).alias("h"))
     wall = (F.col("x").between(3, 3.6) & F.col("y").between(2, 7)) | (F.col("x").between(6, 6.6) & F.col("y").between(0, 5.5))
-    z = F.when(wall, 0.8 * F.col("h")).when(F.col("x").between(1, 9) & F.col("y").between(8.6, 9), 0.12 + 0.01 * F.col("e")).otherwise(0.04 * F.col("x") + 0.02 * F.col("e"))
+    ramp = F.col("x").between(7.5, 9.5) & F.col("y").between(6, 8)
+    ground = 0.04 * F.col("x")
+    z = (
+        F.when(wall, 0.8 * F.col("h"))
+        .when(F.col("x").between(1, 9) & F.col("y").between(8.6, 9), 0.12 + 0.01 * F.col("e"))
+        .when(ramp, ground + 0.10 * (F.col("x") - 7.5) + 0.01 * F.col("e"))
+        .otherwise(ground + 0.02 * F.col("e"))
+    )
     return d.select(F.lit(0).cast("long").alias("grid_id"), "pid", "x", "y", z.alias("z"))
