@@ -58,7 +58,7 @@ def replanned(cells: DataFrame, requests: DataFrame, nav: NavConfig = NavConfig(
     routes = asked
     for end, (x, y) in {"start": ("x", "y"), "goal": ("gx", "gy")}.items():
         near = graph.snapped(free, asked.filter("goal_x IS NOT NULL").select("query_id", "grid_id", *at(x, y)), nav.snap_radius)
-        near = near.join(asked.select("query_id", "grid_id"), "query_id").join(labels, (F.col("snap_row") == F.col("row")) & (F.col("snap_col") == F.col("col")) & (asked["grid_id"] == labels["grid_id"]))
+        near = near.join(asked.select("query_id", "grid_id"), "query_id").join(labels.withColumnsRenamed({"row": "snap_row", "col": "snap_col"}), ["grid_id", "snap_row", "snap_col"])
         routes = routes.join(near.select("query_id", F.col("snap_row").alias(f"{end}_row"), F.col("snap_col").alias(f"{end}_col"), F.col("component").alias(f"{end}_in")), "query_id", "left")
     lost = routes.filter("start_in IS NOT NULL AND (goal_in IS NULL OR goal_in <> start_in)").select("query_id", "grid_id", "gx", "gy", F.col("start_in").alias("component"))
     d = lambda c, g: ((F.col(c) + 0.5) * res - F.col(g)) * ((F.col(c) + 0.5) * res - F.col(g))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..config import ApfConfig, GridConfig, KalmanConfig, NavConfig, RobotLimits
 from ..functions import geometry as geo
-from ..operators import fusion, graph, grid, motion, timed
+from ..operators import fusion, graph, grid, motion, navigate, orient, timed
+from ..sources import export
 
 ROBOT, CFG, KALMAN, NAV, APF = RobotLimits(), GridConfig(), KalmanConfig(), NavConfig(), ApfConfig()
 SIDE = 100
@@ -501,10 +502,8 @@ def rate_limit(spark, d):
 h AS (SELECT axis, CAST(least(floor((v - lo) * 50 / (hi - lo)), 49) AS INT) bin, count(*) n FROM v JOIN r USING (axis) GROUP BY 1, 2) SELECT axis, max(n) AS densest, first(bin ORDER BY n DESC, bin) AS bin FROM h GROUP BY 1"""
 )
 def up_axis(spark, d):
-    v = cloud(spark, d).select(F.posexplode(F.array("x_mm", "y_mm", "z_mm")).alias("axis", "v"))
-    r = F.broadcast(v.groupBy("axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # three rows
-    h = v.join(r, "axis").groupBy("axis", F.least(F.floor((F.col("v") - F.col("lo")) * 50 / (F.col("hi") - F.col("lo"))), F.lit(49)).cast("int").alias("bin")).count()
-    return h.groupBy("axis").agg(F.max("count").alias("densest"), F.min_by("bin", F.struct(-F.col("count"), "bin")).alias("bin"))
+    points = cloud(spark, d).selectExpr("x_mm AS x", "y_mm AS y", "z_mm AS z")
+    return orient.densest_bins(points).select("axis", "densest", "bin")
 
 
 _PLANES = [(0.0, 0.0, 1.0, 0.0), (-0.04, 0.0, 0.9992, 0.0), (1.0, 0.0, 0.0, -3.0), (0.0, 0.0, 1.0, -0.12)]
@@ -584,17 +583,20 @@ def smooth_paths(spark, d):
     return motion.smooth_paths(f, p.withColumn("grid_id", 1 + F.col("query_id") % 7), 0.1, spread=SPREAD).select("query_id", "seq", _round("x"), _round("y"))
 
 
+#: The field of a grid as lists, and a place's number in them.
+_FIELD_LISTS = "fa AS MATERIALIZED (SELECT g, any_value(h) h, any_value(w) w, list(d ORDER BY r, c) ds, list(gx ORDER BY r, c) xs, list(gy ORDER BY r, c) ys FROM fl GROUP BY g)"
+_PLACE = "greatest(0, least(h - 1, CAST(round_even(p.y / 1e-1 - 5e-1, 0) AS INT))) * w + greatest(0, least(w - 1, CAST(round_even(p.x / 1e-1 - 5e-1, 0) AS INT))) + 1"
 #: A step in the field from (x, y) toward (tx, ty): speeds vx, vy and how large the force was.
 _MOVE = """SELECT *, fx * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vx, fy * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vy FROM (SELECT *, sqrt(fx * fx + fy * fy) sp FROM (
  SELECT *, CASE WHEN push IS NULL THEN pull * dx ELSE pull * dx + push * gx / gn END fx, CASE WHEN push IS NULL THEN pull * dy ELSE pull * dy + push * gy / gn END fy FROM (SELECT *, CASE WHEN dd > 2e0 THEN 2e0 / dd ELSE 1e0 END pull,
- CASE WHEN rho > 0 AND rho <= 8e-1 AND gn > 1e-6 THEN least(6e-1 * (1e0 / rho - 1e0 / 8e-1) / (rho * rho), 50e0) END push FROM (SELECT p.*, sqrt(dx * dx + dy * dy) dd, a.d rho, gx, gy, sqrt(gx * gx + gy * gy) gn FROM (SELECT *, tx - x dx, ty - y dy FROM {p}) p JOIN fl a ON a.g = p.g AND {at}))))"""
+ CASE WHEN rho > 0 AND rho <= 8e-1 AND gn > 1e-6 THEN least(6e-1 * (1e0 / rho - 1e0 / 8e-1) / (rho * rho), 50e0) END push FROM (SELECT *, sqrt(dx * dx + dy * dy) dd, sqrt(gx * gx + gy * gy) gn FROM (SELECT p.*, tx - x dx, ty - y dy, a.ds[{i}] rho, a.xs[{i}] gx, a.ys[{i}] gy FROM {p} p JOIN fa a ON a.g = p.g)))))"""
 
 
 @query(
-    f"""WITH RECURSIVE {_FREE}, {_DISTANCES}, ag AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, s_suppkey * 53 % 100 / 1e1 x, s_suppkey * 37 % 100 / 1e1 y, s_suppkey * 91 % 100 / 1e1 tx, s_suppkey * 71 % 100 / 1e1 ty FROM supplier),
+    f"""WITH RECURSIVE {_FREE}, {_DISTANCES}, {_FIELD_LISTS}, ag AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, s_suppkey * 53 % 100 / 1e1 x, s_suppkey * 37 % 100 / 1e1 y, s_suppkey * 91 % 100 / 1e1 tx, s_suppkey * 71 % 100 / 1e1 ty FROM supplier),
 ro(q, g, k, x, y, tx, ty, stuck) AS (SELECT q, g, 0, x, y, tx, ty, 0 FROM ag
-UNION ALL SELECT q, g, k + 1, x + CASE WHEN now > 3 THEN vx - 3e-1 * 6e-1 * dy / dd ELSE vx END * 1e-1, y + CASE WHEN now > 3 THEN vy + 3e-1 * 6e-1 * dx / dd ELSE vy END * 1e-1, tx, ty, now FROM
- (SELECT *, CASE WHEN sp < 5e-2 THEN stuck + 1 ELSE 0 END now FROM ({_MOVE.format(p="ro", at=_AT.format(p="p"))})) WHERE dd > 15e-2 AND k < 600)
+UNION ALL SELECT q + 0, g + 0, k + 1, x + CASE WHEN now > 3 THEN vx - 3e-1 * 6e-1 * dy / dd ELSE vx END * 1e-1, y + CASE WHEN now > 3 THEN vy + 3e-1 * 6e-1 * dx / dd ELSE vy END * 1e-1, tx + 0e0, ty + 0e0, now FROM
+ (SELECT *, CASE WHEN sp < 5e-2 THEN stuck + 1 ELSE 0 END now FROM ({_MOVE.format(p="ro", i=_PLACE)})) WHERE dd > 15e-2 AND k < 600)
 SELECT q AS agent_id, count(*) AS steps, round(arg_max(x, k), 4) AS x, round(arg_max(y, k), 4) AS y, round(sum(x + 2e0 * y), 3) AS trace FROM ro GROUP BY q"""
 )
 def apf_rollouts(spark, d):
@@ -603,3 +605,241 @@ def apf_rollouts(spark, d):
     t = motion.rollouts(free(spark, d), agents, 0.1, spread=SPREAD).groupBy("agent_id")
     last = lambda c: _rounded(F.max_by(c, "seq"), 4).alias(c)
     return t.agg(F.count(F.lit(1)).alias("steps"), last("x"), last("y"), _rounded(F.sum(F.col("x") + 2.0 * F.col("y")), 3).alias("trace"))
+
+
+# Navigation: requests of suppliers, whose goals may lie outside the grid.
+_ASKED = """rq AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, s_suppkey * 53 % 100 / 1e1 + 5e-2 x, s_suppkey * 37 % 100 / 1e1 + 5e-2 y, CASE WHEN s_suppkey % 17 <> 0 THEN s_suppkey * 91 % 200 / 1e1 - 5 END gx, s_suppkey * 71 % 200 / 1e1 - 5 gy FROM supplier),
+pj AS (SELECT *, greatest(greatest(abs(gx - x), abs(gy - y)) / 37e-1, 1e0) sc FROM rq), tg AS (SELECT *, x + (gx - x) / sc tx, y + (gy - y) / sc ty FROM pj)"""
+_NEAR = """SELECT tg.q, first(f.r % 1000 ORDER BY greatest(abs(f.r % 1000 - {r}), abs(f.c - {c})), f.r % 1000 - {r}, f.c - {c}) r, first(f.c ORDER BY greatest(abs(f.r % 1000 - {r}), abs(f.c - {c})), f.r % 1000 - {r}, f.c - {c}) c
+ FROM tg JOIN f ON f.g = tg.g AND abs(f.r % 1000 - {r}) < 25 AND abs(f.c - {c}) < 25 WHERE gx IS NOT NULL GROUP BY tg.q"""
+_CELL = lambda v: f"CAST(trunc({v} / 1e-1) AS INT)"
+
+
+def requests(spark, d) -> DataFrame:
+    at = lambda k: f"s_suppkey * {k} % 100 / 1e1 + 5e-2"
+    return spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS query_id", "1 + s_suppkey % 7 AS grid_id", f"{at(53)} AS x", f"{at(37)} AS y", "CASE WHEN s_suppkey % 17 <> 0 THEN s_suppkey * 91 % 200 / 1e1 - 5 END AS goal_x", "s_suppkey * 71 % 200 / 1e1 - 5 AS goal_y")
+
+
+@query(
+    f"""WITH RECURSIVE {_labels("abs(dr) + abs(dc) = 1")}, {_EDGES}, {_ASKED}, na AS ({_NEAR.format(r=_CELL("y"), c=_CELL("x"))}), nb AS ({_NEAR.format(r=_CELL("ty"), c=_CELL("tx"))}),
+en AS (SELECT tg.*, na.r r0, na.c c0, nb.r rb, nb.c cb, a.id ia, b.id ib FROM tg LEFT JOIN na USING (q) LEFT JOIN nb USING (q) LEFT JOIN k a ON a.r = 1000 * tg.g + na.r AND a.c = na.c LEFT JOIN k b ON b.r = 1000 * tg.g + nb.r AND b.c = nb.c),
+fb AS (SELECT en.q, arg_min(struct_pack(r := k.r % 1000, c := k.c), struct_pack(d := ((k.c + 5e-1) * 1e-1 - tx) * ((k.c + 5e-1) * 1e-1 - tx) + ((k.r % 1000 + 5e-1) * 1e-1 - ty) * ((k.r % 1000 + 5e-1) * 1e-1 - ty), r := k.r, c := k.c)) b FROM en JOIN k ON k.g = en.g AND k.id = en.ia WHERE ia IS NOT NULL AND (ib IS NULL OR ib <> ia) GROUP BY en.q),
+route AS MATERIALIZED (SELECT en.q, en.g, gx, r0, c0, coalesce(fb.b.r, rb) r1, coalesce(fb.b.c, cb) c1, ia IS NOT NULL AS near FROM en LEFT JOIN fb ON fb.q = en.q), {_search("route")}
+SELECT route.q AS query_id, CASE WHEN gx IS NULL THEN 'waiting for goal' WHEN r0 IS NULL THEN 'no free space near robot' WHEN r0 = r1 AND c0 = c1 THEN 'no progress possible from here' ELSE 'following path' END AS status, CAST(r1 AS INT) AS goal_row, CAST(c1 AS INT) AS goal_col, round(t, 6) AS cost
+FROM route LEFT JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1"""
+)
+def replan(spark, d):
+    return navigate.replanned(free(spark, d), requests(spark, d), NAV, SPREAD).select("query_id", "status", "goal_row", "goal_col", _round("cost"))
+
+
+@query(
+    f"""WITH {_chain(True)}, {_ALL} SELECT g AS grid_id, r % 1000 AS row, c AS col, CAST(CASE WHEN n IS NULL THEN 2 WHEN lethal THEN 1 ELSE 0 END AS TINYINT) AS class, round(CASE WHEN n IS NULL THEN 50e0 ELSE cost END, 6) AS cost, round(CASE WHEN n IS NULL THEN 1e0 ELSE cost END, 6) AS as_free, round(cost, 6) AS as_lethal FROM allc LEFT JOIN cells USING (g, r, c)"""
+)
+def unknown_costs(spark, d):
+    t, g = terrain(spark, d, True).select("grid_id", "row", "col", "class", "cost"), _grids(spark, d)
+    made = navigate.with_unknown(t, g, CFG.unknown_cost)
+    for name, more in (("as_free", {"as_free": True}), ("as_lethal", {"lethal": True})):
+        made = made.join(navigate.with_unknown(t, g, **more).select(*grid.KEY, F.col("cost").alias(name)), grid.KEY)
+    return made.select(*grid.KEY, "class", _round("cost"), _round("as_free"), _round("as_lethal"))
+
+
+@query(f"WITH {_FREE}, z AS (SELECT g, r % 1000 r, c FROM f) SELECT g AS grid_id, first(r ORDER BY r + c, r, c) AS start_row, first(c ORDER BY r + c, r, c) AS start_col, first(r ORDER BY r + c DESC, r, c) AS goal_row, first(c ORDER BY r + c DESC, r, c) AS goal_col FROM z GROUP BY g HAVING count(*) > 1")
+def extreme_ends(spark, d):
+    return graph.extreme_ends(free(spark, d))
+
+
+@query(f"WITH {_CLOUD} SELECT scan_id AS grid_id, round(median(x_mm / 1e3) - 4, 6) AS xmin, round(median(y_mm / 1e3) - 4, 6) AS ymin, round(median(x_mm / 1e3) + 4, 6) AS xmax, round(median(y_mm / 1e3) + 4, 6) AS ymax FROM cloud GROUP BY 1")
+def median_window(spark, d):
+    return navigate.median_windows(metres(spark, d).withColumn("grid_id", F.col("scan_id")), 8.0).select("grid_id", _round("xmin"), _round("ymin"), _round("xmax"), _round("ymax"))
+
+
+@query("SELECT l_suppkey AS scan_id, count(*) AS n FROM lineitem WHERE l_quantity > 5 GROUP BY 1 HAVING count(*) >= 500")
+def enough_points(spark, d):
+    p = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_suppkey AS scan_id", "CASE WHEN l_quantity > 5 THEN l_quantity ELSE double('nan') END AS x", "l_tax AS y", "l_discount AS z")
+    return navigate.enough_points(p, 500).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_MEASURES}, v AS (SELECT 1e0 / sum(1e0 / v) v FROM m GROUP BY r, c) SELECT round(avg(v), 9) AS mean_variance FROM v")
+def mean_variance(spark, d):
+    return fusion.mean_variance(fusion.fused(measures(spark, d))).select(_round("mean_variance", 9))
+
+
+_REACH = "sqrt(((c + 5e-1) * 1e-1 - 5) ** 2 + ((r + 5e-1) * 1e-1 - 5) ** 2)"
+
+
+@query(
+    f"""WITH {_LOCAL}, fi AS (SELECT r, c, min(s) s0 FROM lo GROUP BY r, c), ch AS (SELECT s, count(*) FILTER (WHERE s = s0 OR {_REACH} <= 15e-1) n FROM lo JOIN fi USING (r, c) GROUP BY s)
+SELECT s AS seq, n AS changed, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS BIGINT) AS revision FROM ch"""
+)
+def map_changes(spark, d):
+    c = cloud(spark, d).groupBy(F.col("scan_id").alias("seq"), F.floor(F.col("y_mm") / 100).cast("int").alias("row"), F.floor(F.col("x_mm") / 100).cast("int").alias("col"))
+    local = c.agg((F.sum("z_mm") / F.count(F.lit(1)) * 1e-3).alias("elevation"), F.lit(0).alias("class"), F.count(F.lit(1)).alias("n"))
+    at = lambda c: F.pow((F.col(c) + 0.5) * 0.1 - 5, F.lit(2))
+    return fusion.changes(local.withColumns({"ix": F.col("col"), "iy": F.col("row"), "distance": F.sqrt(at("col") + at("row"))}), refresh_radius=1.5)
+
+
+@query(
+    f"""WITH {_CLOUD} SELECT CAST(x_mm // 100 AS INT) AS col, round(-5e0 + (x_mm // 100 + 5e-1) * 1e-1, 6) AS centre, CAST(floor((-5e0 + (x_mm // 100 + 5e-1) * 1e-1) / 1e-1) AS INT) AS ix, x_mm // 100 BETWEEN 10 AND 59 AS inside, count(*) AS n FROM cloud GROUP BY ALL"""
+)
+def world_index(spark, d):
+    c = cloud(spark, d).select(F.expr("CAST(x_mm DIV 100 AS INT)").alias("col"))
+    c = c.select("col", _rounded(geo.cell_centre("col", -5.0, 0.1)).alias("centre"), geo.world_index("col", -5.0, 0.1).alias("ix"), geo.in_grid(F.lit(0), F.col("col") - 10, F.lit(1), F.lit(50)).alias("inside"))
+    return c.groupBy("col", "centre", "ix", "inside").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_CLOUD}, r AS (SELECT min(z_mm / 1e3) lo, max(z_mm / 1e3) hi FROM cloud), h AS (SELECT coalesce(CAST(least(floor((z_mm / 1e3 - lo) * 50 / (hi - lo)), 49) AS INT), 0) bin, lo, hi, count(*) n FROM cloud, r GROUP BY ALL), fl AS (SELECT first(lo + (bin + 5e-1) * ((hi - lo) / 50) ORDER BY n DESC, bin) AS floor, any_value(lo) lo, any_value(hi) hi FROM h)
+SELECT scan_id, l_orderkey, round(x_mm / 1e3, 6) AS x, round(y_mm / 1e3, 6) AS y, round(CASE WHEN hi - floor >= floor - lo THEN 1e0 ELSE -1e0 END * (z_mm / 1e3 - floor), 6) AS z FROM cloud, fl"""
+)
+def reorient(spark, d):
+    return orient.reoriented(metres(spark, d)).select("scan_id", "l_orderkey", _round("x"), _round("y"), _round("z"))
+
+
+_BACK = """bt(q, g, n, r, c) AS (SELECT route.q, route.g, 0, sp.r, sp.c FROM route JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1 WHERE t < 'Infinity'::DOUBLE
+UNION ALL SELECT bt.q, bt.g, n + 1, pr, pc FROM bt JOIN sp ON sp.q = bt.q AND sp.r = bt.r AND sp.c = bt.c WHERE pr >= 0), pc AS MATERIALIZED (SELECT q, g, max(n) OVER (PARTITION BY q) - n seq, max(n) OVER (PARTITION BY q) top, r, c FROM bt)"""
+
+
+def path_cells(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Free cells, and the cells of all found paths: query_id, grid_id, seq, row, col."""
+    f, p = planned(spark, d)
+    return f, p.select("query_id", (1 + F.col("query_id") % 7).alias("grid_id"), F.posexplode("path").alias("seq", "p")).select("query_id", "grid_id", "seq", "p.row", "p.col")
+
+
+@query(
+    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}, {_BACK}, low AS (SELECT g, min(e) lo FROM cells WHERE NOT lethal GROUP BY g)
+SELECT q AS query_id, CAST(seq AS INT) AS seq, round((pc.c + 5e-1) * 1e-1, 6) AS x, round((pc.r % 1000 + 5e-1) * 1e-1, 6) AS y, round(coalesce(e, lo) + 5e-2, 6) AS z FROM pc LEFT JOIN cells ON cells.r = pc.r AND cells.c = pc.c JOIN low ON low.g = pc.g WHERE seq < 40"""
+)
+def draped_paths(spark, d):
+    f, p = path_cells(spark, d)
+    return navigate.draped(p, f, 0.1, 0.05, 40).select("query_id", "seq", _round("x"), _round("y"), _round("z"))
+
+
+@query(
+    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}
+SELECT route.q AS query_id, round(t, 6) AS cost FROM route JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1 WHERE t < 'Infinity'::DOUBLE"""
+)
+def path_cost(spark, d):
+    f, p = path_cells(spark, d)
+    return motion.path_costs(p, f).select("query_id", _round("cost"))
+
+
+@query(
+    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}, {_BACK}, {_DISTANCES}, {_FIELD_LISTS}, pw AS MATERIALIZED (SELECT q, g, seq, top, (c + 5e-1) * 1e-1 px, (r % 1000 + 5e-1) * 1e-1 py FROM pc WHERE top > 0),
+fo(q, g, k, x, y, nx) AS (SELECT q, g, 0, px, py, 0::BIGINT FROM pw WHERE seq = 0
+UNION ALL SELECT q, g, k + 1, x + vx * 1e-1, y + vy * 1e-1, nx FROM ({_MOVE.format(p="(SELECT fo.q, fo.g, fo.k, fo.x, fo.y, arg_min(px, seq) tx, arg_min(py, seq) ty, min(seq) nx, any_value(top) top FROM fo JOIN pw ON pw.q = fo.q AND seq >= fo.nx AND (seq = top OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) >= 7e-1) GROUP BY fo.q, fo.g, fo.k, fo.x, fo.y)", i=_PLACE)}) WHERE k < 2000 AND NOT (nx = top AND dd <= 15e-2))
+SELECT q AS query_id, count(*) AS steps, round(arg_max(x, k), 4) AS x, round(arg_max(y, k), 4) AS y, round(sum(x + 2e0 * y), 3) AS trace FROM fo GROUP BY q"""
+)
+def followed_paths(spark, d):
+    f, p = planned(spark, d)
+    points = F.transform("path", lambda c: F.struct(((c["col"] + 0.5) * 0.1).alias("x"), ((c["row"] + 0.5) * 0.1).alias("y")))
+    t = motion.follow_paths(f, p.filter(F.size("path") > 1).select("query_id", (1 + F.col("query_id") % 7).alias("grid_id"), points.alias("points")), 0.1, spread=SPREAD).groupBy("query_id")
+    last = lambda c: _rounded(F.max_by(c, "seq"), 4).alias(c)
+    return t.agg(F.count(F.lit(1)).alias("steps"), last("x"), last("y"), _rounded(F.sum(F.col("x") + 2.0 * F.col("y")), 3).alias("trace"))
+
+
+@query(f"WITH {_PATH}, o AS (SELECT query_id + 1 AS query_id, seq, y AS ox, x AS oy FROM p), j AS (SELECT query_id, seq, sqrt((x - ox) ** 2 + (y - oy) ** 2) d FROM p JOIN o USING (query_id, seq)) SELECT query_id AS agent_id, count(*) AS steps, round(avg(d), 6) AS mean_gap, round(arg_max(d, seq), 6) AS last_gap FROM j GROUP BY 1")
+def gap_statistics(spark, d):
+    p = polylines(spark, d).withColumnRenamed("query_id", "agent_id")
+    other = p.select((F.col("agent_id") + 1).alias("agent_id"), "seq", F.col("y").alias("x"), F.col("x").alias("y"))
+    return navigate.gaps(p, other).select("agent_id", "steps", _round("mean_gap"), _round("last_gap"))
+
+
+_KINDS = "kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 kind FROM (SELECT DISTINCT event_type FROM events))"
+
+
+def kinds(e: DataFrame) -> DataFrame:
+    """Events with `kind`, the number of their type in the order of names; types are few."""
+    from pyspark.sql import Window
+
+    names = e.select("event_type").distinct().withColumn("kind", F.row_number().over(Window.orderBy("event_type")) - 1)
+    return e.join(F.broadcast(names), "event_type")
+
+
+@query(
+    f"""WITH {_EV}, {_KINDS}, tk AS (SELECT user_id, event_id, t, kind = 0 reached FROM ev JOIN kinds USING (event_type) WHERE kind <= 1), sq AS (SELECT *, coalesce(sum(CASE WHEN reached THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) s FROM tk),
+rt AS (SELECT user_id, t, event_id tie, value rx, -value ry FROM ev JOIN kinds USING (event_type) WHERE kind = 2 AND event_id % 5 = 0), j AS (SELECT sq.*, rt.rx, rt.ry, row_number() OVER (PARTITION BY sq.event_id ORDER BY rt.t DESC, rt.tie DESC) k FROM sq LEFT JOIN rt ON rt.user_id = sq.user_id AND rt.t <= sq.t)
+SELECT event_id, round(CASE WHEN rx IS NOT NULL THEN rx WHEN s < 4 THEN user_id + s END, 6) AS goal_x, round(CASE WHEN rx IS NOT NULL THEN ry WHEN s < 4 THEN user_id - s END, 6) AS goal_y FROM j WHERE k = 1"""
+)
+def current_goal(spark, d):
+    e = kinds(events(spark, d)).withColumnRenamed("user_id", "robot_id")
+    ticks = e.filter("kind <= 1").select("robot_id", "t", "event_id", F.when(F.col("kind") == 0, "goal reached").otherwise("following path").alias("status"))
+    robots = e.select("robot_id").distinct()
+    flat = F.array(*(F.col("robot_id") + s * (1 - 2 * k) + 0.0 for s in range(4) for k in range(2)))
+    runtime = e.filter("kind = 2 AND event_id % 5 = 0").select("robot_id", "t", F.col("event_id").alias("tie"), F.col("value").alias("x"), (-F.col("value")).alias("y"))
+    return navigate.current_goals(ticks, navigate.waypoint_queue(robots.withColumn("waypoints", flat)), runtime).select("event_id", _round("goal_x"), _round("goal_y"))
+
+
+@query(
+    f"""WITH {_EV}, {_KINDS}, c AS (SELECT user_id, event_id, t, CASE WHEN kind <= 1 THEN 0e0 ELSE greatest(-6e-1, least(6e-1, value / 1e2)) END x, CASE WHEN kind = 0 THEN 0e0 ELSE greatest(-15e-1, least(15e-1, -value / 5e1)) END z FROM ev JOIN kinds USING (event_type)),
+l AS (SELECT *, abs(x) < 1e-3 AND abs(z) < 1e-3 AS still FROM c), w AS (SELECT *, coalesce(lag(still) OVER (PARTITION BY user_id ORDER BY t, event_id), false) was FROM l)
+SELECT user_id, round(t, 6) AS t, CASE WHEN still THEN 1003 ELSE 1008 END AS api, round(CASE WHEN NOT still THEN x END, 6) AS x, round(CASE WHEN NOT still THEN z END, 6) AS z FROM w WHERE NOT (still AND was)"""
+)
+def motor_requests(spark, d):
+    e = kinds(events(spark, d))
+    c = e.select("user_id", "t", F.col("event_id").alias("tie"), F.when(F.col("kind") <= 1, 0.0).otherwise(F.col("value") / 1e2).alias("vx"), F.lit(None).cast("double").alias("vy"), F.when(F.col("kind") == 0, 0.0).otherwise(-F.col("value") / 5e1).alias("wz"))
+    m = export.motor_requests(c, "user_id").withColumn("p", F.from_json("parameter", "x double, y double, z double"))
+    return m.select("user_id", _round("t"), "api", _rounded(F.col("p.x")).alias("x"), _rounded(F.col("p.z")).alias("z"))
+
+
+@query(
+    f"""WITH {_chain(True)}, {_ALL}, h AS (SELECT g, greatest(quantile_cont(cost, 0.99), 1000001e-6) hi FROM cells GROUP BY g), v AS (SELECT g, r, c, CAST(CASE WHEN n IS NULL THEN -1 WHEN lethal THEN 100 ELSE greatest(1e0, least(99e0, round_even((cost - 1e0) / (hi - 1e0) * 98e0, 0) + 1e0)) END AS INT) v FROM allc LEFT JOIN cells USING (g, r, c) LEFT JOIN h USING (g))
+SELECT g AS grid_id, 100 AS width, 100 AS height, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY r, c)) AS data FROM v GROUP BY g"""
+)
+def occupancy_message(spark, d):
+    g = _grids(spark, d).withColumns({"origin_x": F.lit(0.0), "origin_y": F.lit(0.0)})
+    m = export.occupancy_messages(grid.occupancy(terrain(spark, d, True), g), g, 0.1)
+    return m.select("grid_id", "width", "height", F.md5(F.array_join("data", ",").cast("binary")).alias("data"))
+
+
+@query(f"WITH {_PATH} SELECT query_id, count(*) AS points, round(first(x ORDER BY seq), 6) AS x0, round(first(y ORDER BY seq DESC), 6) AS y1 FROM p GROUP BY 1")
+def path_message(spark, d):
+    m = export.path_messages(polylines(spark, d))
+    return m.select("query_id", F.size("poses").cast("long").alias("points"), _rounded(F.col("poses")[0]["x"]).alias("x0"), _rounded(F.element_at("poses", -1)["y"]).alias("y1"))
+
+
+@query(
+    f"""WITH {_chain(True)}, {_ALL}, v AS (SELECT g, r, c, CASE WHEN e IS NULL THEN -32768 ELSE CAST(greatest(least(round_even((e + {NUDGE!r}) * 100, 0), 32000), -32000) AS INT) END & 65535 h, CASE WHEN n IS NULL THEN 2 WHEN lethal THEN 1 ELSE 0 END k FROM allc LEFT JOIN cells USING (g, r, c))
+SELECT g AS grid_id, 100 AS h, 100 AS w, to_base64(unhex(string_agg(printf('%02X%02X', h & 255, h >> 8), '' ORDER BY r, c))) AS elev, to_base64(unhex(string_agg(printf('%02X', k), '' ORDER BY r, c))) AS cls FROM v GROUP BY g"""
+)
+def grid_frame(spark, d):
+    g = _grids(spark, d).withColumns({"origin_x": F.lit(0.0), "origin_y": F.lit(0.0), "seq": F.lit(1)})
+    all_ = navigate.with_unknown(terrain(spark, d, True).select(*grid.KEY, (F.col("elevation") + NUDGE).alias("elevation"), "class", "cost"), g, lethal=True)
+    f = export.grid_frames(all_, g, 0.1).withColumn("f", F.from_json("frame", "h int, w int, elev string, cls string"))
+    return f.select("grid_id", "f.*")
+
+
+@query(
+    f"""WITH {_EV}, sp AS (SELECT user_id, min(t) a, max(t) b FROM ev GROUP BY 1), tk AS (SELECT user_id, CAST(unnest(range(0, CAST(floor((b - a) / 864e2) AS BIGINT) + 1)) AS INT) tick, a FROM sp), t2 AS (SELECT user_id, tick, a + tick * 864e2 t FROM tk),
+j AS (SELECT t2.user_id, tick, ev.value, row_number() OVER (PARTITION BY t2.user_id, tick ORDER BY ev.t DESC, ev.event_id DESC) k FROM t2 LEFT JOIN ev ON ev.user_id = t2.user_id AND ev.t <= t2.t)
+SELECT user_id, tick, round(value, 6) AS value FROM j WHERE k = 1"""
+)
+def tick_values(spark, d):
+    e = events(spark, d)
+    spans = e.groupBy("user_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    t = timed.ticks(spans, "user_id", 86400.0)
+    return timed.latest_before(t, e, "user_id", "t", "tick", ["value"], tie_right="event_id").select("user_id", "tick", _round("value"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id > 100 ORDER BY event_id DESC LIMIT 1")
+def newest_frame(spark, d):
+    return timed.newer_than(events(spark, d).select("event_id", "user_id"), 100, "event_id")
+
+
+_MOUNT = (0.1, -0.2, 0.3)
+_RPY = geo.rpy_rows(*_MOUNT)
+_TURN = lambda a: " + ".join(f"{v!r}::DOUBLE * {c}" for v, c in zip(a, ("x", "y", "z")))
+
+
+@query(
+    f"""WITH {_CLOUD}, {_EV}, ps AS (SELECT 1 + user_id % 7 rob, event_id % 50000 t, event_id tie, value px, -value py FROM ev), pt AS (SELECT scan_id rob, l_orderkey t, x_mm / 1e3 - 5 x, y_mm / 1e3 - 5 y, z_mm / 1e3 z FROM cloud),
+sc AS (SELECT DISTINCT rob, t FROM pt), ka AS (SELECT sc.rob, sc.t, px, py, row_number() OVER (PARTITION BY sc.rob, sc.t ORDER BY ps.t DESC, tie DESC) k FROM sc JOIN ps ON ps.rob = sc.rob AND ps.t <= sc.t),
+mo AS (SELECT pt.rob, pt.t, px, py, {_TURN(_RPY[0])} AS mx, {_TURN(_RPY[1])} AS my, {_TURN(_RPY[2])} AS mz FROM pt JOIN ka USING (rob, t) WHERE k = 1),
+wo AS (SELECT rob, px, py, {_R[0][0]!r} * mx + {_R[0][1]!r} * my + {_R[0][2]!r} * mz + px wx, {_R[1][0]!r} * mx + {_R[1][1]!r} * my + {_R[1][2]!r} * mz + py wy, {_R[2][0]!r} * mx + {_R[2][1]!r} * my + {_R[2][2]!r} * mz + 5e-1 wz FROM mo)
+SELECT rob AS robot_id, count(*) AS n, round(sum(wx), 3) AS x, round(sum(wy), 3) AS y, round(sum(wz), 3) AS z FROM wo WHERE (wx - px) ** 2 + (wy - py) ** 2 > 45e-2 ** 2 GROUP BY 1"""
+)
+def scans_in_world(spark, d):
+    e = events(spark, d)
+    poses = e.select((1 + F.col("user_id") % 7).alias("robot_id"), (F.col("event_id") % 50000).cast("double").alias("t"), F.col("event_id").alias("tie"), F.col("value").alias("px"), (-F.col("value")).alias("py"), F.lit(0.5).alias("pz"), *(F.lit(v).alias(n) for v, n in zip(_Q, ("qx", "qy", "qz", "qw"))))
+    p = cloud(spark, d).select(F.col("scan_id").alias("robot_id"), F.col("l_orderkey").cast("double").alias("t"), F.col("l_orderkey").alias("scan_id"), (F.col("x_mm") / 1e3 - 5).alias("x"), (F.col("y_mm") / 1e3 - 5).alias("y"), (F.col("z_mm") / 1e3).alias("z"))
+    w = navigate.in_world(p, poses, mount=_MOUNT, min_range=0.45).groupBy("robot_id")
+    return w.agg(F.count(F.lit(1)).alias("n"), *(_rounded(F.sum(c), 3).alias(c) for c in "xyz"))

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import to_cm
+
 #: Numbers of the motor interface's calls, and its limit for sideways speed (fixed values of the interface).
 MOVE, STOP, MOST_VY = 1008, 1003, 0.4
 #: A speed below this is none, and the value that stands for no height.
@@ -53,7 +55,7 @@ def _base64(values: Column, size: int) -> Column:
 def grid_frames(cells: DataFrame, grids: DataFrame, resolution: float) -> DataFrame:
     """(grid_id, frame): a JSON frame for viewers of all cells (elevation, class, cost; null where unknown) of grids (grid_id, rows, cols, seq,
     origin_x, origin_y). Heights are hundredths in 16 bits, classes bytes, both in base64 and row-major; costs have three places, -1 where nothing passes."""
-    height = F.coalesce(F.greatest(F.least(F.rint(F.col("elevation") * 100), F.lit(32000.0)), F.lit(-32000.0)), F.lit(float(NO_HEIGHT))).cast("int")
+    height = F.when(F.col("elevation").isNotNull(), to_cm("elevation").cast("int")).otherwise(NO_HEIGHT)
     cost = F.coalesce(F.round("cost", 3), F.lit(-1.0))
     all_ = cells.groupBy("grid_id").agg(_in_order(height.alias("e"), F.col("class").cast("int").alias("k"), cost.alias("c")).alias("a"))
     pick = lambda c: F.transform("a", lambda x: x[c])

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from cairnfield.config import ApfConfig, GridConfig, RobotLimits
+from cairnfield.config import ApfConfig, GridConfig
 from cairnfield.operators import fusion, graph, grid, motion
 from cairnfield.sources import maps, points
 
@@ -166,7 +166,3 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     assert sorted(spark.table("limited").collect()) == sorted(timed.rate_limited(df, "user_id", "t", "event_id", 5.0).collect())
     assert spark.table("buffers").count() == 60
-
-
-def test_settings():
-    assert math.isclose(RobotLimits().max_slope_tan, math.tan(math.pi / 6))

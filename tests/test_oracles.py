@@ -10,6 +10,10 @@ from cairnfield.plans import queries as plans
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 
+#: On a thin cloud no cell has all neighbours, no path is found, and no supplier has many points.
+THIN = {"erode_mask", "smooth_paths", "draped_paths", "followed_paths", "path_cost", "enough_points"}
+
+
 def same(a, b):
     if a is None or b is None:
         return a is b
@@ -38,14 +42,13 @@ def test_query_equals_sql(spark, duck, name):
     assert columns == sorted(want.columns)
     got = ordered([tuple(r) for r in df.select(*columns).collect()])
     exp = ordered(duck.sql(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall())
-    assert len(got) == len(exp) and (exp or name in ("erode_mask", "smooth_paths"))  # on a thin cloud no cell has all neighbours, and no path is found
+    assert len(got) == len(exp) and (exp or name in THIN)
     bad = [(g, e) for g, e in zip(got, exp) if not all(map(same, g, e))]
     assert not bad, bad[:3]
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_query_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.ORACLE_SQL)
 
 
 def test_entry(spark):
