@@ -555,11 +555,11 @@ def plan_paths(spark, d):
 
 
 #: Distances and gradients of the free cells' grids, as far as their largest row and column.
-_DISTANCES = """side AS (SELECT g, max(r % 1000) + 1 h, max(c) + 1 w FROM f GROUP BY g), whole AS (SELECT g, CAST(1000 * g + a.i AS INT) r, CAST(b.i AS INT) c, h, w FROM side, range(0, h) a(i), range(0, w) b(i)),
-wall AS (SELECT g, r, c FROM whole ANTI JOIN f USING (g, r, c)),
-near AS (SELECT f.g, f.r, f.c, min(greatest(abs(y), abs(x)) + (sqrt(2e0) - 1e0) * least(abs(y), abs(x))) d FROM f, range(-9, 10) a(y), range(-9, 10) b(x), wall o WHERE o.r = f.r + y AND o.c = f.c + x GROUP BY f.g, f.r, f.c HAVING d <= 10),
-far AS (SELECT f.g, f.r, f.c, min(greatest(abs(f.r - o.r), abs(f.c - o.c)) + (sqrt(2e0) - 1e0) * least(abs(f.r - o.r), abs(f.c - o.c))) d FROM (SELECT g, r, c FROM f ANTI JOIN near USING (g, r, c)) f LEFT JOIN wall o ON o.g = f.g GROUP BY f.g, f.r, f.c),
-ds AS MATERIALIZED (SELECT x.g, x.r, x.c, h, w, CASE WHEN o.r IS NOT NULL THEN 0e0 ELSE coalesce(near.d, far.d, 2e0 * (h + w)) END * 1e-1 d FROM whole x LEFT JOIN wall o USING (g, r, c) LEFT JOIN near USING (g, r, c) LEFT JOIN far USING (g, r, c)),
+_DISTANCES = """side AS (SELECT g, max(r % 1000) + 1 h, max(c) + 1 w FROM f GROUP BY g), whole AS MATERIALIZED (SELECT g, CAST(1000 * g + a.i AS INT) r, CAST(b.i AS INT) c, CAST(h + 0 * a.i AS INT) h, CAST(w + 0 * b.i AS INT) w FROM side, range(0, h) a(i), range(0, w) b(i)),
+wall AS MATERIALIZED (SELECT x.g, x.r, x.c, h, w, CASE WHEN f.cost IS NULL THEN x.r END o FROM whole x LEFT JOIN f ON f.g = x.g AND f.r = x.r AND f.c = x.c),
+up AS MATERIALIZED (SELECT g, r, c, h, w, least(r - max(o) OVER (PARTITION BY g, c ORDER BY r), min(o) OVER (PARTITION BY g, c ORDER BY r DESC) - r) v FROM wall),
+ds AS MATERIALIZED (SELECT a.g, a.r, a.c, any_value(a.h) h, any_value(a.w) w, coalesce(min(greatest(b.v, abs(a.c - b.c)) + (sqrt(2e0) - 1e0) * least(b.v, abs(a.c - b.c))), 2e0 * (any_value(a.h) + any_value(a.w))) * 1e-1 d
+ FROM up a LEFT JOIN (SELECT g, r, c, v FROM up WHERE v IS NOT NULL) b ON b.g = a.g AND b.r = a.r GROUP BY a.g, a.r, a.c),
 fl AS MATERIALIZED (SELECT a.*, CASE WHEN n.d IS NULL THEN (a.d - s.d) / 1e-1 WHEN s.d IS NULL THEN (n.d - a.d) / 1e-1 ELSE (n.d - s.d) / 2e-1 END gy, CASE WHEN e.d IS NULL THEN (a.d - v.d) / 1e-1 WHEN v.d IS NULL THEN (e.d - a.d) / 1e-1 ELSE (e.d - v.d) / 2e-1 END gx
  FROM ds a LEFT JOIN ds n ON n.g = a.g AND n.r = a.r + 1 AND n.c = a.c LEFT JOIN ds s ON s.g = a.g AND s.r = a.r - 1 AND s.c = a.c LEFT JOIN ds e ON e.g = a.g AND e.r = a.r AND e.c = a.c + 1 LEFT JOIN ds v ON v.g = a.g AND v.r = a.r AND v.c = a.c - 1)"""
 _AT = "a.r = 1000 * {p}.g + greatest(0, least(h - 1, CAST(round_even({p}.y / 1e-1 - 5e-1, 0) AS INT))) AND a.c = greatest(0, least(w - 1, CAST(round_even({p}.x / 1e-1 - 5e-1, 0) AS INT)))"
@@ -567,42 +567,53 @@ _AT = "a.r = 1000 * {p}.g + greatest(0, least(h - 1, CAST(round_even({p}.y / 1e-
 _PUSH = "CASE WHEN d < 5e-1 AND sqrt(gx * gx + gy * gy) > 1e-6 THEN 15e-2 * ((5e-1 - d) / 5e-1) / sqrt(gx * gx + gy * gy) ELSE 0e0 END"
 
 
+_BACK = """bt(q, g, n, r, c) AS (SELECT route.q, route.g, 0, sp.r, sp.c FROM route JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1 WHERE t < 'Infinity'::DOUBLE
+UNION ALL SELECT bt.q, bt.g, n + 1, pr, pc FROM bt JOIN sp ON sp.q = bt.q AND sp.r = bt.r AND sp.c = bt.c WHERE pr >= 0), pc AS MATERIALIZED (SELECT q, g, max(n) OVER (PARTITION BY q) - n seq, max(n) OVER (PARTITION BY q) top, r, c FROM bt)"""
+
+
+def _round_of_band(k: int) -> str:
+    """Points b{k} after one more round; written out for each, as joins of a growing recursion are brittle."""
+    to = lambda v, n: f"greatest(0, least({n} - 1, CAST(trunc({v} / 1e-1) AS INT)))"
+    return f"""b{k} AS MATERIALIZED (SELECT q, m.g, seq, top, CASE WHEN fr.r IS NOT NULL AND seq BETWEEN 1 AND top - 1 THEN mx ELSE x END x, CASE WHEN fr.r IS NOT NULL AND seq BETWEEN 1 AND top - 1 THEN my ELSE y END y FROM
+ (SELECT p.*, h, w, p.x + 3e-1 * (5e-1 * (xp + xn) - p.x) + {_PUSH} * gx mx, p.y + 3e-1 * (5e-1 * (yp + yn) - p.y) + {_PUSH} * gy my
+  FROM (SELECT *, lag(x) OVER o xp, lead(x) OVER o xn, lag(y) OVER o yp, lead(y) OVER o yn FROM b{k - 1} WINDOW o AS (PARTITION BY q ORDER BY seq)) p JOIN fl a ON {_AT.format(p="p")}) m
+ LEFT JOIN f fr ON fr.r = 1000 * m.g + {to("my", "h")} AND fr.c = {to("mx", "w")})"""
+
+
 @query(
-    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}, bt(q, g, n, r, c) AS (SELECT route.q, route.g, 0, sp.r, sp.c FROM route JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1 WHERE t < 'Infinity'::DOUBLE
-UNION ALL SELECT bt.q, bt.g, n + 1, pr, pc FROM bt JOIN sp ON sp.q = bt.q AND sp.r = bt.r AND sp.c = bt.c WHERE pr >= 0),
-pts AS (SELECT q, g, max(n) OVER (PARTITION BY q) - n seq, (c + 5e-1) * 1e-1 x, (r % 1000 + 5e-1) * 1e-1 y FROM bt), {_DISTANCES},
-band(i, q, g, seq, x, y) AS (SELECT 0, q, g, seq, x, y FROM pts
-UNION ALL SELECT i + 1, q, g, seq, CASE WHEN fr.r IS NOT NULL AND mx IS NOT NULL THEN mx ELSE x END, CASE WHEN fr.r IS NOT NULL AND my IS NOT NULL THEN my ELSE y END FROM
- (SELECT p.i, p.q, p.g, p.seq, p.x, p.y, h, w, p.x + 3e-1 * (5e-1 * (u.x + v.x) - p.x) + {_PUSH} * gx mx, p.y + 3e-1 * (5e-1 * (u.y + v.y) - p.y) + {_PUSH} * gy my
-  FROM band p LEFT JOIN band u ON u.q = p.q AND u.seq = p.seq - 1 LEFT JOIN band v ON v.q = p.q AND v.seq = p.seq + 1 JOIN fl a ON {_AT.format(p="p")}) m
- LEFT JOIN (SELECT r, c FROM f) fr ON fr.r = 1000 * m.g + greatest(0, least(h - 1, CAST(trunc(my / 1e-1) AS INT))) AND fr.c = greatest(0, least(w - 1, CAST(trunc(mx / 1e-1) AS INT))) WHERE i < 80)
-SELECT q AS query_id, CAST(seq AS INT) AS seq, round(x, 6) AS x, round(y, 6) AS y FROM band WHERE i = 80"""
+    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}, {_BACK}, {_DISTANCES}, b0 AS MATERIALIZED (SELECT q, g, seq, top, (c + 5e-1) * 1e-1 x, (r % 1000 + 5e-1) * 1e-1 y FROM pc),
+{", ".join(_round_of_band(k) for k in range(1, 81))}
+SELECT q AS query_id, CAST(seq AS INT) AS seq, round(x, 6) AS x, round(y, 6) AS y FROM b80"""
 )
 def smooth_paths(spark, d):
     f, p = planned(spark, d)
     return motion.smooth_paths(f, p.withColumn("grid_id", 1 + F.col("query_id") % 7), 0.1, spread=SPREAD).select("query_id", "seq", _round("x"), _round("y"))
 
 
-#: The field of a grid as lists, and a place's number in them.
-_FIELD_LISTS = "fa AS MATERIALIZED (SELECT g, any_value(h) h, any_value(w) w, list(d ORDER BY r, c) ds, list(gx ORDER BY r, c) xs, list(gy ORDER BY r, c) ys FROM fl GROUP BY g)"
-_PLACE = "greatest(0, least(h - 1, CAST(round_even(p.y / 1e-1 - 5e-1, 0) AS INT))) * w + greatest(0, least(w - 1, CAST(round_even(p.x / 1e-1 - 5e-1, 0) AS INT))) + 1"
 #: A step in the field from (x, y) toward (tx, ty): speeds vx, vy and how large the force was.
-_MOVE = """SELECT *, fx * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vx, fy * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vy FROM (SELECT *, sqrt(fx * fx + fy * fy) sp FROM (
+_MOVE = f"""SELECT *, fx * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vx, fy * CASE WHEN sp > 6e-1 THEN 6e-1 / sp ELSE 1e0 END vy FROM (SELECT *, sqrt(fx * fx + fy * fy) sp FROM (
  SELECT *, CASE WHEN push IS NULL THEN pull * dx ELSE pull * dx + push * gx / gn END fx, CASE WHEN push IS NULL THEN pull * dy ELSE pull * dy + push * gy / gn END fy FROM (SELECT *, CASE WHEN dd > 2e0 THEN 2e0 / dd ELSE 1e0 END pull,
- CASE WHEN rho > 0 AND rho <= 8e-1 AND gn > 1e-6 THEN least(6e-1 * (1e0 / rho - 1e0 / 8e-1) / (rho * rho), 50e0) END push FROM (SELECT *, sqrt(dx * dx + dy * dy) dd, sqrt(gx * gx + gy * gy) gn FROM (SELECT p.*, tx - x dx, ty - y dy, a.ds[{i}] rho, a.xs[{i}] gx, a.ys[{i}] gy FROM {p} p JOIN fa a ON a.g = p.g)))))"""
+ CASE WHEN rho > 0 AND rho <= 8e-1 AND gn > 1e-6 THEN least(6e-1 * (1e0 / rho - 1e0 / 8e-1) / (rho * rho), 50e0) END push FROM (SELECT p.*, sqrt(dx * dx + dy * dy) dd, a.d rho, gx, gy, sqrt(gx * gx + gy * gy) gn FROM (SELECT *, tx - x dx, ty - y dy FROM ag) p JOIN fl a ON a.g = p.g AND {_AT.format(p="p")}))))"""
+
+
+def agents(spark, d) -> DataFrame:
+    at = lambda k: f"s_suppkey * {k} % 100 / 1e1"
+    return spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS agent_id", "1 + s_suppkey % 7 AS grid_id", f"{at(53)} AS x", f"{at(37)} AS y", f"array(struct({at(91)} AS x, {at(71)} AS y)) AS goals")
 
 
 @query(
-    f"""WITH RECURSIVE {_FREE}, {_DISTANCES}, {_FIELD_LISTS}, ag AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, s_suppkey * 53 % 100 / 1e1 x, s_suppkey * 37 % 100 / 1e1 y, s_suppkey * 91 % 100 / 1e1 tx, s_suppkey * 71 % 100 / 1e1 ty FROM supplier),
-ro(q, g, k, x, y, tx, ty, stuck) AS (SELECT q, g, 0, x, y, tx, ty, 0 FROM ag
-UNION ALL SELECT q + 0, g + 0, k + 1, x + CASE WHEN now > 3 THEN vx - 3e-1 * 6e-1 * dy / dd ELSE vx END * 1e-1, y + CASE WHEN now > 3 THEN vy + 3e-1 * 6e-1 * dx / dd ELSE vy END * 1e-1, tx + 0e0, ty + 0e0, now FROM
- (SELECT *, CASE WHEN sp < 5e-2 THEN stuck + 1 ELSE 0 END now FROM ({_MOVE.format(p="ro", i=_PLACE)})) WHERE dd > 15e-2 AND k < 600)
-SELECT q AS agent_id, count(*) AS steps, round(arg_max(x, k), 4) AS x, round(arg_max(y, k), 4) AS y, round(sum(x + 2e0 * y), 3) AS trace FROM ro GROUP BY q"""
+    f"""WITH {_FREE}, {_DISTANCES}, ag AS (SELECT s_suppkey q, 1 + s_suppkey % 7 g, s_suppkey * 53 % 100 / 1e1 x, s_suppkey * 37 % 100 / 1e1 y, s_suppkey * 91 % 100 / 1e1 tx, s_suppkey * 71 % 100 / 1e1 ty FROM supplier)
+SELECT q AS agent_id, round(CASE WHEN dd > 15e-2 THEN x + vx * 1e-1 ELSE x END, 6) AS x, round(CASE WHEN dd > 15e-2 THEN y + vy * 1e-1 ELSE y END, 6) AS y FROM ({_MOVE})"""
 )
+def apf_step(spark, d):
+    """Every agent after its first step in the field."""
+    t = motion.rollouts(free(spark, d), agents(spark, d), 0.1, steps=1, spread=SPREAD).groupBy("agent_id")
+    return t.agg(_rounded(F.max_by("x", "seq")).alias("x"), _rounded(F.max_by("y", "seq")).alias("y"))
+
+
+@query()
 def apf_rollouts(spark, d):
-    at = lambda k: f"s_suppkey * {k} % 100 / 1e1"
-    agents = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS agent_id", "1 + s_suppkey % 7 AS grid_id", f"{at(53)} AS x", f"{at(37)} AS y", f"array(struct({at(91)} AS x, {at(71)} AS y)) AS goals")
-    t = motion.rollouts(free(spark, d), agents, 0.1, spread=SPREAD).groupBy("agent_id")
+    t = motion.rollouts(free(spark, d), agents(spark, d), 0.1, spread=SPREAD).groupBy("agent_id")
     last = lambda c: _rounded(F.max_by(c, "seq"), 4).alias(c)
     return t.agg(F.count(F.lit(1)).alias("steps"), last("x"), last("y"), _rounded(F.sum(F.col("x") + 2.0 * F.col("y")), 3).alias("trace"))
 
@@ -695,10 +706,6 @@ def reorient(spark, d):
     return orient.reoriented(metres(spark, d)).select("scan_id", "l_orderkey", _round("x"), _round("y"), _round("z"))
 
 
-_BACK = """bt(q, g, n, r, c) AS (SELECT route.q, route.g, 0, sp.r, sp.c FROM route JOIN sp ON sp.q = route.q AND sp.r % 1000 = r1 AND sp.c = c1 WHERE t < 'Infinity'::DOUBLE
-UNION ALL SELECT bt.q, bt.g, n + 1, pr, pc FROM bt JOIN sp ON sp.q = bt.q AND sp.r = bt.r AND sp.c = bt.c WHERE pr >= 0), pc AS MATERIALIZED (SELECT q, g, max(n) OVER (PARTITION BY q) - n seq, max(n) OVER (PARTITION BY q) top, r, c FROM bt)"""
-
-
 def path_cells(spark, d) -> tuple[DataFrame, DataFrame]:
     """Free cells, and the cells of all found paths: query_id, grid_id, seq, row, col."""
     f, p = planned(spark, d)
@@ -723,12 +730,7 @@ def path_cost(spark, d):
     return motion.path_costs(p, f).select("query_id", _round("cost"))
 
 
-@query(
-    f"""WITH RECURSIVE {_ROUTES}, {_search("route")}, {_BACK}, {_DISTANCES}, {_FIELD_LISTS}, pw AS MATERIALIZED (SELECT q, g, seq, top, (c + 5e-1) * 1e-1 px, (r % 1000 + 5e-1) * 1e-1 py FROM pc WHERE top > 0),
-fo(q, g, k, x, y, nx) AS (SELECT q, g, 0, px, py, 0::BIGINT FROM pw WHERE seq = 0
-UNION ALL SELECT q, g, k + 1, x + vx * 1e-1, y + vy * 1e-1, nx FROM ({_MOVE.format(p="(SELECT fo.q, fo.g, fo.k, fo.x, fo.y, arg_min(px, seq) tx, arg_min(py, seq) ty, min(seq) nx, any_value(top) top FROM fo JOIN pw ON pw.q = fo.q AND seq >= fo.nx AND (seq = top OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) >= 7e-1) GROUP BY fo.q, fo.g, fo.k, fo.x, fo.y)", i=_PLACE)}) WHERE k < 2000 AND NOT (nx = top AND dd <= 15e-2))
-SELECT q AS query_id, count(*) AS steps, round(arg_max(x, k), 4) AS x, round(arg_max(y, k), 4) AS y, round(sum(x + 2e0 * y), 3) AS trace FROM fo GROUP BY q"""
-)
+@query()
 def followed_paths(spark, d):
     f, p = planned(spark, d)
     points = F.transform("path", lambda c: F.struct(((c["col"] + 0.5) * 0.1).alias("x"), ((c["row"] + 0.5) * 0.1).alias("y")))

@@ -48,7 +48,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(plans.QUERIES) == set(plans.ORACLE_SQL)
+    """But for whole trajectories, whose single step is a query with SQL; test_engine has their properties."""
+    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) == {"apf_rollouts", "followed_paths"}
 
 
 def test_entry(spark):
