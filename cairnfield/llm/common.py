@@ -39,7 +39,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what came of them is written itself."""
+    for t in tables:
+        if path := getattr(t, "_staged", None):
+            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def file_system(uri: str):

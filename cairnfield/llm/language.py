@@ -31,6 +31,8 @@ PENALTY, SCALE = 10.0, 0.4
 SCRIPT_SHARE, OTHER_SCRIPT = 0.01, 30.0
 #: Words that a task keeps, words whose path is searched at a time, and records in a batch.
 KEPT_WORDS, CELLS, RECORDS = 150_000, 1 << 22, 1024
+#: Words that are scored at a time, and bytes of texts in a batch: letters take a hundred bytes or so each on the way.
+WORDS, BYTES = 20_000, 2 << 20
 #: Type of a language number in paths.
 STATE = "int16"
 UNKNOWN = "und"
@@ -185,9 +187,9 @@ class Labeller:
             self.__init__(self.model)
         new = list({w for words in split for w in words if w not in self.known})
         if new:
-            scores, letters, fit = self.model.scores(new)
+            parts = [self.model.scores(new[at : at + WORDS]) for at in range(0, len(new), WORDS)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.scores, self.letters, self.fit = (np.concatenate(x) for x in ((self.scores, scores), (self.letters, letters), (self.fit, fit)))
+            self.scores, self.letters, self.fit = (np.concatenate([have, *more]) for have, more in zip((self.scores, self.letters, self.fit), zip(*parts)))
         get = self.known.__getitem__
         rows = [np.fromiter(map(get, words), "int64", len(words)) for words in split]
         k = len(self.model.languages)
@@ -260,7 +262,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]):
         labeller = Labeller(shared.value)
-        for b in slices(batches, RECORDS):
+        for b in slices(batches, RECORDS, BYTES):
             got = labeller.label(b.column(2).to_pylist())
             spans = [[dict(zip(("start", "end", "lang"), s)) for s in g[2]] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(spans, spans_type)], schema.names)
@@ -279,7 +281,7 @@ def kept_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]):
         labeller = Labeller(shared.value)
-        for b in slices(batches, RECORDS, column=place):
+        for b in slices(batches, RECORDS, BYTES, place):
             yield b.filter(pa.array([lang != UNKNOWN and share >= LEAST_SHARE for lang, share, _ in labeller.label(b.column(place).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

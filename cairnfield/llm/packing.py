@@ -85,7 +85,9 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str | Non
 
 
 def pack(pieces: DataFrame, tie: list[str], length: str = "length", size: int = SIZE) -> DataFrame:
-    """`pieces`, a written table, with sequence_id and offset. Pieces need lengths from 1 to `size`; `tie` orders those of one length."""
+    """`pieces`, a written table, with sequence_id and offset. Pieces need lengths from 1 to `size`, a null one raises; `tie` orders
+    those of one length, and nulls in it come first. Repeated rows are pieces of their own, an empty table gives an empty one;
+    a column of the table that is named sequence_id or offset must be renamed before."""
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     if any(not 0 < (n or 0) <= size for n in histogram):
@@ -107,7 +109,8 @@ def pack(pieces: DataFrame, tie: list[str], length: str = "length", size: int =
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """All documents packed: a row for each piece, with its sequence and offset."""
+    """All documents packed: a row for each piece, with its sequence and offset. A null or empty text is one piece, its end id;
+    repeated rows are packed as often as they come, an empty table gives an empty one, other columns are left out."""
     return pack(staged(cut(docs, ids=False), "pieces"), ["doc_id", "start", "ids_crc32"])
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, joined, salted_rank, staged
+from .common import buckets_for, documents, forget, joined, salted_rank, staged
 
 SHARDS = 40
 #: Rounds of propagation at most; what they leave apart is placed by size.
@@ -67,16 +67,18 @@ def propagate(state: DataFrame, free: list[int], rounds: int = ROUNDS) -> tuple[
         if taken.isEmpty():
             break
         moved = staged(state.join(taken, "unit", "left").withColumn("next", F.coalesce("to", "shard")).select("unit", "start", "n", "shard", "next"), "moved")
+        forget(state, taken)
         change = {s: [0, 0] for s in range(shards)}
         for side, column in enumerate(("shard", "next")):
             for s, n in moved.filter("shard <> next").groupBy(column).agg(F.sum("n")).collect():
                 change[s][side] = n
         free = [f + change[s][0] - change[s][1] for s, f in enumerate(free)]
         state = moved.select("unit", "start", "n", F.col("next").alias("shard"))
+        state._staged = moved._staged
     return state, cuts
 
 
-def shards_of(batches: DataFrame, units: DataFrame, rows: int, shards: int, rounds: int) -> DataFrame:
+def shards_of(batches: DataFrame, units: DataFrame, rows: int, shards: int, rounds: int, report: list[int] | None = None) -> DataFrame:
     """(unit, shard, base) of the chunks that found room; `base` counts the documents before it on the shard.
 
     `units` is a written table (unit, n, label), where `label` is the shard that most documents of the chunk were dealt to;
@@ -106,7 +108,9 @@ def shards_of(batches: DataFrame, units: DataFrame, rows: int, shards: int, roun
         state = staged(state.select("unit", "start", "n", "shard"), "state")
         for s, n in state.groupBy("shard").agg(F.sum("n")).collect():
             taken[s] = n
-        state, _ = propagate(state, [f - t for f, t in zip(free, taken)], rounds)
+        state, cuts = propagate(state, [f - t for f, t in zip(free, taken)], rounds)
+        if report is not None:
+            report += cuts
     whole = state.groupBy("unit").agg(F.min("shard").alias("shard"), F.max("shard").alias("other"), F.sum("n").alias("n")).filter("shard = other") if total else None
     placed = staged(seeds.unionByName(whole.select("unit", "n", "shard")) if total else seeds, "placed")
     waiting = rest.select("unit", "n").join(placed.select("unit"), "unit", "left_anti")
@@ -129,8 +133,9 @@ def shards_of(batches: DataFrame, units: DataFrame, rows: int, shards: int, roun
     return prefix(placed, "shard", salt, "n", ["unit"], "base")
 
 
-def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """key, size, text_crc32, law, shard, slot, grown_shard: a row for each row.
+def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, report: list[int] | None = None) -> DataFrame:
+    """key, size, text_crc32, law, shard, slot, grown_shard: a row for each row. `report`, if given, gets the cut edges before the
+    first round and after each.
 
     Law `rows`: counts at most one apart; grown_shard is null. A null text counts as the empty one, in size (16), digest and
     links. Repeated rows are rows of their own. Slots count from 0 without gaps on each shard. With fewer rows than shards,
@@ -154,7 +159,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     units = staged(votes.groupBy("unit").agg(F.sum("votes").alias("n"), F.min_by("start", F.struct(-F.col("votes"), "start")).alias("label")), "units")
     several = units.filter("n > 1")
     dealt = joined(linked.select("unit", "start", "at"), several.select("unit", F.col("n").alias("weight")), "unit", "weight", rows).select("unit", "start", "at", F.lit(1).cast("long").alias("n"))
-    placed = staged(shards_of(dealt, several, rows, shards, rounds), "placed")
+    placed = staged(shards_of(dealt, several, rows, shards, rounds, report), "placed")
     # Free places by shard: `shards` numbers, whatever the input.
     used = dict(placed.groupBy("shard").agg(F.sum("n")).collect())
     free = [rows // shards + (s < rows % shards) - used.get(s, 0) for s in range(shards)]

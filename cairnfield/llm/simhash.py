@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, joined, slices, staged
+from .common import documents, forget, joined, slices, staged
 
 #: Words in a shingle, seed of its hash, and differing bits of linked fingerprints.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -135,34 +135,40 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
-def _jumped(to: DataFrame) -> DataFrame:
-    """(node, root) with `root` followed to its end: each step, a join, doubles what is jumped, so a chain takes its logarithm."""
+def _jumped(table: DataFrame) -> DataFrame:
+    """A written (node, root) with `root` followed to its end: each step, a join, doubles what is jumped, so a chain takes its logarithm."""
     while True:
-        up = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = staged(to.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("next"), "root"), "roots")
-        to = new.select("node", F.col("next").alias("root"))
-        if new.filter("next <> root").isEmpty():
-            return to
+        up = table.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = staged(table.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("root").alias("was")), "roots")
+        forget(table)
+        done = new.filter("root <> was").isEmpty()
+        table = new.drop("was")
+        table._staged = new._staged
+        if done:
+            return table
 
 
 def components(edges: DataFrame) -> DataFrame | None:
     """(node, root) of every node with an edge, or None without edges: each round joins nodes to their least neighbour, follows
     these to their ends and contracts the edges. Of neighbours one at least is no end, so a round halves the nodes, and both
-    rounds and steps of a round follow the logarithm of the number of nodes. Tables of a round are written."""
+    rounds and steps of a round follow the logarithm of the number of nodes. Tables of a round are written, and deleted when
+    the next ones are."""
     edges = staged(edges, "edges")
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root"))
         to = _jumped(staged(to, "roots"))
+        of = lambda c: to.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))  # noqa: B023, E731
+        old, edges = edges, staged(edges.join(of("u"), "u").join(of("v"), "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).filter("u <> v").distinct(), "edges")
         if roots is None:
             roots = to
         else:
             up = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = staged(roots.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
-        of = lambda c: to.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))  # noqa: B023, E731
-        edges = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).filter("u <> v").distinct()
-        edges = staged(edges, "edges")
+            before, roots = roots, staged(roots.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            forget(before, to)
+        forget(old)
+    forget(edges)
     return roots
 
 

@@ -10,7 +10,9 @@ def test_chunks_that_fit_are_never_cut(spark):
     texts = ["hot"] * 1333 + [f"g{i % 10}" for i in range(300)] + [f"p{i % 500}" for i in range(1000)] + [f"s{i}" for i in range(1367)]
     random.Random(11).shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    homes = check(sharding.shard_documents(df).collect(), dict(enumerate(texts)), 40)
+    cuts: list[int] = []
+    homes = check(sharding.shard_documents(df, report=cuts).collect(), dict(enumerate(texts)), 40)
+    assert cuts[0] > 0 and all(a >= b for a, b in zip(cuts, cuts[1:])) and cuts[-1] < cuts[0] / 10
     assert len(homes["hot"]) <= 14  # 13 full shards and what is over
     assert not [t for t, h in homes.items() if t != "hot" and len(h) > 1]
 
