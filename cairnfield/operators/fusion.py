@@ -29,18 +29,39 @@ def fused(measures: DataFrame) -> DataFrame:
     return s.select(*KEY, (F.col("zw") / F.col("w")).alias("height"), (1.0 / F.col("w")).alias("variance"), "hits")
 
 
-def fused_with_process(measures: DataFrame, process_var: float, last_scan: int) -> DataFrame:
-    """The same with `process_var` added to every cell at each scan: a fold over the cell's measures by scan."""
+def fused_with_process(measures: DataFrame, process_var: float, last_scan: int, known: DataFrame | None = None) -> DataFrame:
+    """The same with `process_var` added to every cell at each scan: a fold over the cell's measures by scan, up to `last_scan`.
+
+    `known` (cells with height, variance and scan, the scan that they are of) goes first; the result can be the next one's.
+    """
     steps = F.array_sort(F.collect_list(F.struct("scan_id", "z", "var", "hits")))
-    folded = measures.groupBy(*KEY).agg(steps.alias("steps")).withColumn(
+    g = measures.groupBy(*KEY).agg(steps.alias("steps"))
+    start = "CAST(NULL AS struct<h: double, p: double, k: bigint>)"
+    if known is not None:
+        k = known.select(*KEY, F.struct(F.col("height").cast("double").alias("h"), F.col("variance").cast("double").alias("p"), F.col("scan").cast("bigint").alias("k")).alias("old"))
+        g = g.join(k, KEY, "full").withColumn("steps", F.coalesce("steps", F.expr("array()").cast(g.schema["steps"].dataType)))
+        start = "old"
+    now = f"(a.p + {process_var!r}D * (x.scan_id - a.k))"
+    folded = g.withColumn(
         "f",
         F.expr(
-            f"""aggregate(slice(steps, 2, size(steps)), struct(steps[0].z AS h, steps[0].var AS p, CAST(steps[0].scan_id AS bigint) AS k),
-            (a, x) -> struct(a.h + (a.p + {process_var}D * (x.scan_id - a.k)) / (a.p + {process_var}D * (x.scan_id - a.k) + x.var) * (x.z - a.h) AS h,
-              (1D - (a.p + {process_var}D * (x.scan_id - a.k)) / (a.p + {process_var}D * (x.scan_id - a.k) + x.var)) * (a.p + {process_var}D * (x.scan_id - a.k)) AS p, CAST(x.scan_id AS bigint) AS k))"""
+            f"""aggregate(steps, {start}, (a, x) -> IF(a.h IS NULL, struct(x.z AS h, x.var AS p, CAST(x.scan_id AS bigint) AS k),
+            struct(a.h + {now} / ({now} + x.var) * (x.z - a.h) AS h, (1D - {now} / ({now} + x.var)) * {now} AS p, CAST(x.scan_id AS bigint) AS k)))"""
         ),
     )
-    return folded.select(*KEY, F.col("f.h").alias("height"), (F.col("f.p") + process_var * (F.lit(last_scan) - F.col("f.k"))).alias("variance"))
+    return folded.select(*KEY, F.col("f.h").alias("height"), (F.col("f.p") + process_var * (F.lit(last_scan) - F.col("f.k"))).alias("variance"), F.lit(last_scan).cast("long").alias("scan"))
+
+
+def fused_in_parts(measures: DataFrame, process_var: float, last_scan: int, most: int = 10_000) -> DataFrame:
+    """`fused_with_process` for any number of scans: stretches of at most `most` are folded one after the other, each into the
+    checkpointed cells of those before, so that a row never holds more measures than that."""
+    first = measures.agg(F.min("scan_id")).first()[0]
+    known = None
+    for at in range(first if first is not None else last_scan, last_scan + 1, most):
+        end = min(at + most - 1, last_scan)
+        known = fused_with_process(measures.filter(F.col("scan_id").between(at, end)), process_var, end, known)
+        known = checkpointed(known) if end < last_scan else known
+    return known
 
 
 def fused_grid(cells: DataFrame, robot: RobotLimits, cfg: KalmanConfig) -> DataFrame:

@@ -15,6 +15,8 @@ from ..config import FREE, LETHAL, UNKNOWN, GridConfig, RobotLimits
 from ..functions.geometry import bin_index
 
 KEY = ["grid_id", "row", "col"]
+#: Tasks that a grid's points are dealt to where they meet its bounds.
+SALT = 32
 BOX = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
 
@@ -48,7 +50,9 @@ def binned(points: DataFrame, cfg: GridConfig) -> DataFrame:
         cols, rows = max(1, math.ceil((x1 - x0) / res)), max(1, math.ceil((y1 - y0) / res))
         p = points.withColumns({"col": bin_index("x", x0, res), "row": bin_index("y", y0, res)})
         return p.filter((F.col("col") >= 0) & (F.col("col") < cols) & (F.col("row") >= 0) & (F.col("row") < rows))
-    p = points.join(auto_bounds(points), "grid_id")
+    # A grid's points are dealt to SALT tasks, each with a copy of its bounds, so that a large grid is no hot key.
+    bounds = auto_bounds(points).withColumn("__salt", F.explode(F.expr(f"sequence(0, {SALT - 1})")))
+    p = points.withColumn("__salt", F.pmod(F.xxhash64("x", "y", "z"), F.lit(SALT)).cast("int")).join(bounds, ["grid_id", "__salt"]).drop("__salt")
     last = lambda lo, hi: F.greatest(F.lit(1), F.ceil((F.col(hi) - F.col(lo)) / res)).cast("int") - 1
     return p.withColumns({"col": F.least(bin_index("x", "xmin", res), last("xmin", "xmax")), "row": F.least(bin_index("y", "ymin", res), last("ymin", "ymax"))}).drop("xmin", "xmax", "ymin", "ymax")
 

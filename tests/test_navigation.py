@@ -219,3 +219,54 @@ def test_unknown_space_and_windows(spark):
     assert [r[3] for r in rows(lethal=True)] == [1.5, None, None, None] and [r[3] for r in rows(as_free=True)] == [1.5, 1.0, 1.0, None]
     assert motion.follow_paths(cells, spark.createDataFrame([(1, 0, None)], "query_id long, grid_id long, points array<struct<x: double, y: double>>"), 0.1).count() == 0
     assert GridConfig().unknown_cost == 50.0
+
+
+def test_plan_path_in_sql(spark):
+    from cairnfield.functions.table import register
+
+    register(spark)
+    cost = np.ones((6, 6))
+    cost[3, :5] = np.inf
+    cells = cells_of(spark, cost).withColumn("query_id", F.lit(1))
+    cells.groupBy().agg(F.collect_list(F.struct("row", "col", "cost")).alias("cells")).createOrReplaceTempView("grids")
+    rows = spark.sql("SELECT p.* FROM grids, LATERAL plan_path(cells, 0, 0, 5, 0) p ORDER BY seq").collect()
+    total, path = graph.least_cost({(r, c): 1.0 for r, c in np.argwhere(np.isfinite(cost)).tolist()}, (0, 0), (5, 0))
+    assert [(r.row, r.col) for r in rows] == path and math.isclose(rows[-1].total, total)
+    assert spark.sql("SELECT p.* FROM grids, LATERAL plan_path(cells, 3, 0, 5, 0) p").count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from cairnfield.__main__ import main
+
+    rng = np.random.default_rng(2)
+    np.save(tmp_path / "p.npy", np.c_[rng.uniform(0, 3, 9000), rng.uniform(0, 3, 9000), rng.normal(0, 0.003, 9000)])
+    made = main(["grid", str(tmp_path / "p.npy"), str(tmp_path / "grid"), "--resolution", "0.2"], spark)
+    assert made["cells"] == 225 and spark.read.parquet(str(tmp_path / "grid")).filter("class = 0").count() == 225
+    got = main(["plan", str(tmp_path / "p.npy"), "--start", "0.3,0.3", "--goal", "2.7,2.7", "--resolution", "0.2"], spark)
+    assert got["status"] == "found" and math.dist(got["path"][0], (0.3, 0.3)) < 0.2 and math.dist(got["path"][-1], (2.7, 2.7)) < 0.2
+    with pytest.raises(SystemExit):
+        main(["plan", "x.npy"], spark)
+
+
+def test_cost_fields_across_tiles_equal_one_search(spark):
+    rng = np.random.default_rng(9)
+    cost = np.where(rng.random((30, 37)) < 0.25, np.inf, 1 + 4 * rng.random((30, 37)))
+    cost[0, 0] = cost[29, 36] = 1.0
+    cells = cells_of(spark, cost, 3)
+    starts = spark.createDataFrame([(3, 0, 0), (3, 29, 36), (3, 99, 99)], "grid_id long, start_row int, start_col int")
+    plain = {(r, c): cost[r, c] for r, c in np.argwhere(np.isfinite(cost)).tolist()}
+    a, b = (graph.least_cost(plain, s, None, 0.0) for s in ((0, 0), (29, 36)))
+    want = {k: min(a.get(k, math.inf), b.get(k, math.inf)) for k in a.keys() | b.keys()}
+    for tile in (7, 500):
+        got = {(r.row, r.col): r.total for r in graph.cost_field(cells, starts, tile=tile).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    assert graph.cost_field(cells, starts.filter("start_row = 99")).count() == 0
+
+
+def test_filters_in_parts_equal_one_fold(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), 0, int(r), 0, float(rng.normal()), float(rng.uniform(0.01, 0.1)), 1) for s in range(1, 41) for r in range(4) if rng.random() < 0.6]
+    m = spark.createDataFrame(rows, "scan_id long, grid_id long, row int, col int, z double, var double, hits long")
+    one = sorted(map(tuple, fusion.fused_with_process(m, 1e-3, 40).collect()))
+    parts = sorted(map(tuple, fusion.fused_in_parts(m, 1e-3, 40, 7).collect()))
+    assert np.allclose(one, parts, rtol=1e-12) and len(one) == 4
