@@ -34,7 +34,7 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: Rate of false rejections that the procedure of Benjamini and Hochberg allows among the tests of a text.
-RATE = 0.1
+RATE = 0.05
 KINDS = ("assign", "access", "hex")
 MASK = "[SECRET]"
 
