@@ -270,3 +270,47 @@ def test_filters_in_parts_equal_one_fold(spark):
     one = sorted(map(tuple, fusion.fused_with_process(m, 1e-3, 40).collect()))
     parts = sorted(map(tuple, fusion.fused_in_parts(m, 1e-3, 40, 7).collect()))
     assert np.allclose(one, parts, rtol=1e-12) and len(one) == 4
+
+
+def test_a_closed_loop_goes_round_a_wall(spark):
+    """The robot sees 5 m, replans on the way, keeps to free cells and reaches a goal beyond its window; an enclosed goal is approached."""
+    cost = np.ones((100, 100))
+    cost[20:70, 30:36] = cost[0:35, 60:66] = np.inf
+    cost[80:90, 80] = cost[80:90, 89] = cost[80, 80:90] = cost[89, 80:90] = np.inf
+    agents = spark.createDataFrame([(1, 0, 0.6, 0.6, 0.0, 9.0, 0.8), (2, 0, 5.0, 9.0, 0.0, 8.45, 8.45), (3, 0, 5.0, 9.0, 0.0, None, 1.0)], "agent_id long, grid_id long, x double, y double, yaw double, goal_x double, goal_y double")
+    from cairnfield.operators import simulate
+
+    rows = simulate.closed_loops(cells_of(spark, cost), agents, steps=1200).toPandas()
+    one, two, three = (rows[rows.agent_id == i].sort_values("seq") for i in (1, 2, 3))
+    assert one.status.iloc[-1] == "goal reached" and math.dist((one.x.iloc[-1], one.y.iloc[-1]), (9.0, 0.8)) <= NavConfig().goal_tol
+    core = np.zeros((100, 100), bool)  # what blocks is inflated; a carrot may cut its corners, but not into what it is made of
+    core[22:68, 32:34] = core[0:33, 62:64] = True
+    assert not core[(one.y / 0.1).astype(int), (one.x / 0.1).astype(int)].any()
+    assert np.hypot(one.x.diff(), one.y.diff()).max() <= NavConfig().max_speed * 0.1 + 1e-9
+    assert two.status.iloc[-1] != "goal reached" and math.dist((two.x.iloc[-1], two.y.iloc[-1]), (8.45, 8.45)) < 1.2
+    assert three.status.tolist() == ["waiting for goal"]
+
+
+def test_the_navigator_decides_as_the_queries_do(spark):
+    from cairnfield.operators import simulate
+
+    rng = np.random.default_rng(8)
+    cost = np.where(rng.random((60, 60)) < 0.25, np.inf, 1 + rng.random((60, 60)))
+    plain = {(r, c): cost[r, c] for r, c in np.argwhere(np.isfinite(cost)).tolist()}
+    asked = [(i, 0, *rng.uniform(0.2, 5.8, 2).tolist(), *rng.uniform(-6, 12, 2).tolist()) for i in range(25)]
+    frame = spark.createDataFrame(asked, "query_id long, grid_id long, x double, y double, goal_x double, goal_y double")
+    got = {r.query_id: r for r in navigate.replanned(cells_of(spark, cost), frame).collect()}
+    for i, _, x, y, gx, gy in asked:
+        robot = simulate.Navigator(NavConfig(), (gx, gy))
+        robot.replan(plain, x, y, 0.0)
+        assert robot.status == got[i].status
+        want = [] if got[i].path is None else [((p.col + 0.5) * 0.1, (p.row + 0.5) * 0.1) for p in got[i].path]
+        assert robot.path[-1:] == want[-1:] and len(robot.path) == len(want)
+    poses = [(i, *rng.uniform(0, 6, 2).tolist(), float(rng.uniform(-3, 3)), float(rng.choice([0.2, 5.0]))) for i in range(40)]
+    robots = [simulate.Navigator(NavConfig(), (3.0, 3.0), [(1.0, 1.0), (2.0, 2.0), (5.0, 2.0)], 0.0, "following path") for _ in poses]
+    carrots = [r.carrot(x, y) for r, (_, x, y, _, _) in zip(robots, poses)]
+    frame = spark.createDataFrame([(*p, 3.0, 3.0, *c) for p, c in zip(poses, carrots)], "i long, x double, y double, yaw double, scan_age double, goal_x double, goal_y double, carrot_x double, carrot_y double")
+    for r in frame.select("i", *motion.command()).collect():
+        _, x, y, yaw, age = poses[r.i]
+        vx, wz, status = robots[r.i].command(x, y, yaw, age)
+        assert status == r.status and math.isclose(vx, r.vx, abs_tol=1e-9) and math.isclose(wz, r.wz, abs_tol=1e-9)
