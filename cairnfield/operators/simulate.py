@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,31 +61,21 @@ class Navigator:
 
     def carrot(self, x: float, y: float) -> tuple[float, float]:
         """The path's point that is `lookahead` further along than the nearest one, else its last."""
-        away = [math.hypot(px - x, py - y) for px, py in self.path]
-        i, along = away.index(min(away)), 0.0
-        while i < len(self.path) - 1 and along < self.nav.lookahead:
-            along += math.dist(self.path[i], self.path[i + 1])
-            i += 1
-        return self.path[i]
+        arcs = list(accumulate(map(math.dist, self.path, self.path[1:]), initial=0.0))
+        near = min(range(len(arcs)), key=lambda i: math.dist(self.path[i], (x, y)))
+        return self.path[min(bisect_left(arcs, arcs[near] + self.nav.lookahead), len(arcs) - 1)]
 
     def command(self, x: float, y: float, yaw: float, now: float) -> tuple[float, float, str]:
         """Speed, turning rate and status."""
-        nav = self.nav
-        if self.goal is None:
-            return 0.0, 0.0, "waiting for goal"
-        if math.hypot(self.goal[0] - x, self.goal[1] - y) <= nav.goal_tol:
-            return 0.0, 0.0, "goal reached"
-        if now - self.seen_at > nav.scan_timeout:
-            return 0.0, 0.0, "scan timeout - stopped"
-        if not self.path:
-            return 0.0, 0.0, self.status
+        nav, there = self.nav, self.goal is not None and math.dist(self.goal, (x, y)) <= self.nav.goal_tol
+        reasons = [(self.goal is None, "waiting for goal"), (there, "goal reached"), (now - self.seen_at > nav.scan_timeout, "scan timeout - stopped"), (not self.path, self.status)]
+        if stop := next((name for holds, name in reasons if holds), None):
+            return 0.0, 0.0, stop
         cx, cy = self.carrot(x, y)
-        off = math.atan2(cy - y, cx - x) - yaw
-        err = math.atan2(math.sin(off), math.cos(off))
-        wz = max(-nav.max_yaw_rate, min(nav.max_yaw_rate, nav.yaw_gain * err))
-        if abs(err) > nav.turn_threshold:
-            return 0.0, wz, "rotating to heading"
-        return nav.max_speed * max(0.0, math.cos(err)), wz, "following path"
+        off = math.remainder(math.atan2(cy - y, cx - x) - yaw, math.tau)
+        turn = math.copysign(min(nav.yaw_gain * abs(off), nav.max_yaw_rate), off)
+        turning = abs(off) > nav.turn_threshold
+        return (0.0, turn, "rotating to heading") if turning else (nav.max_speed * max(0.0, math.cos(off)), turn, "following path")
 
 
 def visible(cost: dict[Cell, float], x: float, y: float, nav: NavConfig, reach: float) -> dict[Cell, float]:
