@@ -3,7 +3,8 @@
 A fingerprint of 64 bits can't tell a Jaccard similarity of 0.8, at which about 10 of them differ, from passages in common. So
 fingerprints have 512 bits here, of distinct shingles. Tiles of documents of like size are compared exactly by exclusive-or and
 bit counts; pairs of tiles whose sizes or population counts differ too much are skipped. What is linked makes groups, and within
-a group the shingles themselves decide. Nothing depends on the number of copies in a group but the number of its blocks.
+a group the shingles themselves decide. Members of one label are never compared again, so a group costs the number of members that
+the largest label leaves out, times the group.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ SHINGLE, TOP, BOTTOM = 5, 4, 5
 #: Words of 64 bits in a fingerprint. At a similarity of 0.8 a bit differs with a chance of 0.15 (the angle between the sets, over
 #: pi), so 78 of 512 differ, with a deviation of 8; RADIUS is six of these more. Unrelated sets differ in 256, with a deviation of 11.
 WORDS, RADIUS = 8, 128
-#: Radius of the first word, which spares most comparisons of the others: 10 bits differ, with a deviation of 3. Sets of
-#: fewer than SMALL shingles are compared without it.
-FIRST, SMALL = 22, 16
+#: Radius of the first two words, which spares most comparisons of the others: 20 bits differ, with a deviation of 4. A bit is more
+#: likely to differ where shingles are few (0.19 of 4 and 5), so sets of fewer than SMALL are compared without it, and within WIDE.
+#: With independent bits a link at the least similarity is lost with a chance of at most 4e-8 (sets of 25), without these of 4e-12.
+FIRST, SMALL, WIDE = 48, 16, 160
 #: Fingerprints in a tile, about, and documents in a block of the exact check.
 TILE, MEMBERS = 8192, 256
 
@@ -85,21 +87,28 @@ class Forest:
             np.minimum.at(self.up, high, low)
 
 
+def radius_of(n: np.ndarray, m: np.ndarray) -> int:
+    """The radius between sets of these sizes."""
+    return WIDE if min(n.min(), m.min()) < SMALL else RADIUS
+
+
 def join_near(forest: Forest, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], at: int, to: int) -> None:
     """Joins what is within the radius, and of sizes that allow the similarity, between two arrays of sets (sizes, fingerprints),
     whose nodes begin at `at` and `to` in the forest."""
     (n, f), (m, g) = left, right
-    radius = FIRST if min(n.min(), m.min()) >= SMALL else 64
+    radius = radius_of(n, m)
     step = max(1, PAIRS // len(m))
-    first = np.ascontiguousarray(g[:, 0])
+    first = np.ascontiguousarray(g[:, :2].T)
     for begin in range(0, len(n), step):
-        i, j = np.nonzero(np.bitwise_count(f[begin : begin + step, :1] ^ first[None, :]) <= radius)
+        differ = np.bitwise_count(f[begin : begin + step, :1] ^ first[0])
+        differ += np.bitwise_count(f[begin : begin + step, 1:2] ^ first[1])
+        i, j = np.nonzero(differ <= (FIRST if radius < WIDE else 128))
         i += begin
         fit = BOTTOM * np.minimum(n[i], m[j]) >= TOP * np.maximum(n[i], m[j])
         i, j = i[fit], j[fit]
         for part in range(0, len(i), 1 << 17):
             x, y = i[part : part + (1 << 17)], j[part : part + (1 << 17)]
-            hit = np.bitwise_count(f[x] ^ g[y]).sum(1, dtype="int64") <= RADIUS
+            hit = np.bitwise_count(f[x] ^ g[y]).sum(1, dtype="int64") <= radius
             forest.join(x[hit] + at, y[hit] + to)
 
 
@@ -119,7 +128,7 @@ def links(sets: DataFrame) -> DataFrame:
     Sizes of linked sets differ by a quarter at most, so a set is compared within its class of sizes and the next one.
     """
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BOTTOM / TOP)) + 1e-9).cast("int")
-    placed = sets.filter("n > 0").withColumn("size", size)
+    placed = sets.filter(F.col("n") * (BOTTOM - TOP) >= TOP).withColumn("size", size)  # smaller ones are linked to equal ones alone
     # A row for each class of sizes: at most 97 of them, as a text has less than 2^31 words.
     chunks = placed.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
     placed = placed.join(F.broadcast(chunks), "size").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -134,10 +143,10 @@ def links(sets: DataFrame) -> DataFrame:
         for b in batches:
             for x, y in zip(b.column(0), b.column(1)):
                 (ids, n, f, p), (other, m, g, q) = _tile(x), _tile(y)
-                forest = Forest(len(ids) + len(other))
+                forest, radius = Forest(len(ids) + len(other)), radius_of(n, m)
                 for at in range(0, len(ids), 512):  # by population counts, so those beyond the radius are skipped
                     part = slice(at, at + 512)
-                    lo, hi = np.searchsorted(q, p[part][0] - RADIUS, "left"), np.searchsorted(q, p[part][-1] + RADIUS, "right")
+                    lo, hi = np.searchsorted(q, p[part][0] - radius, "left"), np.searchsorted(q, p[part][-1] + radius, "right")
                     if lo < hi:
                         join_near(forest, (n[part], f[part]), (m[lo:hi], g[lo:hi]), at, len(ids) + int(lo))
                 names = np.concatenate([ids, other])
@@ -188,14 +197,17 @@ def within(table: pa.Table) -> pa.Table:
 
 
 def between(table: pa.Table) -> pa.Table:
-    """Edges (u, v) of labels between the sets of two blocks that have different ones so far."""
+    """Edges (u, v) of labels between the sets of two blocks that have different ones so far; of a single block, within it."""
     ids, sets, label = _sets(table)
     names = np.array([label[i] for i in ids], "int64")
-    near, edges = _similar(sets), set()
+    block = dict(zip(table.column("id").to_pylist(), table.column("block").to_pylist()))
+    side = np.array([block[i] for i in ids])
+    near, edges, one, place = _similar(sets), set(), side.min() == side.max(), np.arange(len(ids))
     for i in range(len(ids)):
-        rest = np.nonzero(names[i + 1 :] != names[i])[0] + i + 1
-        if len(rest):
-            edges.update((int(names[i]), int(names[j])) for j in rest[near(i, rest)].tolist())
+        if one or side[i] == side.min():
+            rest = np.nonzero((names != names[i]) & ((place > i) if one else (side != side[i])))[0]
+            if len(rest):
+                edges.update((int(names[i]), int(names[j])) for j in rest[near(i, rest)].tolist())
     u, v = zip(*sorted(edges)) if edges else ((), ())
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -204,7 +216,8 @@ def exact(members: DataFrame) -> DataFrame:
     """(id, label) of a written table (root, id, set): within a root, sets with the similarity, by steps, have one label.
 
     A root's sets are compared in blocks of about MEMBERS; then one set of each label goes on to the next round, until a root's
-    are in one block or get no fewer. Of roots that then have several labels and blocks, all pairs of blocks are compared.
+    are in one block or get no fewer. Of a label's sets any may have a link to another label's, not only the one that went on: so
+    of roots of several blocks and, still, labels, all sets beside those of the largest label are compared with all of the root.
     """
     labels, rows = members.select("root", "id", F.col("id").alias("label")).distinct(), members.count()
     labels, sets = staged(labels, "labels"), members.select("root", "id", "set")
@@ -225,15 +238,18 @@ def exact(members: DataFrame) -> DataFrame:
         if not count or left is not None and count > 0.9 * left:
             break
         left, first = count, False
-    # What is left: roots of several blocks with several labels.
-    open_ = at.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+    # What is left: roots of several blocks with several labels. Blocks from 0 on are those of all labels but the largest, whose
+    # own come after them and don't meet each other.
+    sizes = labels.groupBy("root", "label").agg(F.count(F.lit(1)).alias("size"))
+    open_ = sizes.groupBy("root").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("size", "label")).alias("most"))
+    open_ = open_.filter((F.col("labels") > 1) & (F.col("n") > MEMBERS))
+    open_ = staged(open_.select("root", "n", F.col("most.label").alias("most"), F.ceil((F.col("n") - F.col("most.size")) / MEMBERS).cast("int").alias("beside"), F.ceil(F.col("most.size") / MEMBERS).cast("int").alias("own")), "open")
     if not open_.isEmpty():
-        some = labels.join(open_, "root", "left_semi")
-        counts = some.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-        some = joined(some, counts, "root", "n", rows).withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
-        some = some.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        some = some.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        some = some.select("root", "id", "label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+        some = joined(labels, open_, "root", "n", rows)
+        hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        some = some.withColumn("block", F.when(F.col("label") == F.col("most"), F.col("beside") + hashed("own")).otherwise(hashed("beside")))
+        some = some.withColumn("other", F.explode(F.expr("sequence(0, if(label = most, beside, beside + own) - 1)")))
+        some = some.select("root", "id", "label", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
         pairs = sets.join(some, ["root", "id"]).groupBy("root", "a", "b").applyInArrow(lambda t: between(t), "u long, v long").distinct()
         more = components(pairs)
         if more is not None:
